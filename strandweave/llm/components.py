@@ -1,0 +1,50 @@
+"""Connected components of an edge table: alternating large-star and small-star rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandweave.runtime import Written
+
+
+def _signature(df: DataFrame) -> tuple:
+    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first())
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component) of every end of an edge; component is the smallest id that can be reached.
+
+    Self-edges and null ends are ignored, so an id with only those has no row. Each round aggregates neighbours
+    to their minimum before the shuffle and joins it back, so a node of any degree is never gathered in one task;
+    rounds grow with the logarithm of the longest path. Each round is a table in the shared folder.
+    """
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
+        F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
+    )
+    now = Written(e.distinct(), "edges")
+    state = _signature(now.df)
+    while state[0]:
+        e = now.df
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = Written(large.where("u != v"), "edges")
+        e = large.df
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        joined = e.join(least, "u")
+        small = joined.select("u", F.col("m").alias("v")).unionByName(
+            joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        )
+        after = Written(small.distinct(), "edges")
+        new = _signature(after.df)
+        large.drop()
+        now.drop()
+        now = after
+        if new == state:
+            break
+        state = new
+    e = now.df
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
+        e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    )
