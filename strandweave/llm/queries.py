@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandweave.llm.embedding_dedup import near_duplicate_vectors
+from strandweave.llm.packing import pack
+from strandweave.llm.token_files import token_file_index
 from strandweave.runtime import table
 
 
@@ -14,5 +16,13 @@ def op1_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_index(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_itq_dedup": op1_itq_dedup}
+    return {"op1_itq_dedup": op1_itq_dedup, "op7_token_files": op7_token_files, "op8_packing": op8_packing}
