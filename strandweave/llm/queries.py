@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandweave.llm.embedding_dedup import near_duplicate_vectors
+from strandweave.llm.language import identify_language
 from strandweave.llm.packing import pack
+from strandweave.llm.quality import score_quality
 from strandweave.llm.token_files import token_file_index
 from strandweave.runtime import table
 
@@ -16,6 +18,14 @@ def op1_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_index(table(spark, sf_dir, "documents"))
 
@@ -25,4 +35,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_itq_dedup": op1_itq_dedup, "op7_token_files": op7_token_files, "op8_packing": op8_packing}
+    return {
+        "op1_itq_dedup": op1_itq_dedup,
+        "op2_quality": op2_quality,
+        "op4_language": op4_language,
+        "op7_token_files": op7_token_files,
+        "op8_packing": op8_packing,
+    }
