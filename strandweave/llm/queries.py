@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandweave.llm.embedding_dedup import near_duplicate_vectors
 from strandweave.llm.language import identify_language
+from strandweave.llm.minhash_dedup import duplicate_classes
 from strandweave.llm.packing import pack
 from strandweave.llm.quality import score_quality
 from strandweave.llm.token_files import token_file_index
@@ -34,6 +35,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_classes(table(spark, sf_dir, "documents"), k=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_itq_dedup": op1_itq_dedup,
@@ -41,4 +46,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": op4_language,
         "op7_token_files": op7_token_files,
         "op8_packing": op8_packing,
+        "op9_minhash_dedup": op9_minhash_dedup,
     }
