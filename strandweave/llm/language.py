@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm import bytekit as bk
@@ -260,11 +260,12 @@ def _expected(lattice: Lattice, words: np.ndarray, length: np.ndarray, prob: np.
 
 
 def language_columns(model: Model, text: str = "text") -> Column:
-    """struct(lang_pred, score) of each whole text."""
+    """struct(lang_pred, score) of each whole text. The broadcast model keeps what a worker has scored."""
+    held = SparkSession.getActiveSession().sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(col: pa.Array) -> pa.Array:
-        names, score = model.predict(col)
+        names, score = held.value.predict(col)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     return predict(F.col(text).cast("string"))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm import bytekit as bk
@@ -193,10 +193,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, **op
 
 def quality_score(model: Forest, text: str = "text") -> Column:
     """Score in 0..1 of each whole text; null counts as empty."""
+    held = SparkSession.getActiveSession().sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def score(col: pa.Array) -> pa.Array:
-        return pa.array(model.probability(statistics(col)))
+        return pa.array(held.value.probability(statistics(col)))
 
     return score(F.col(text).cast("string"))
 
