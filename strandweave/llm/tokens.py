@@ -2,19 +2,30 @@
 
 Byte-level BPE cuts a text into words before it merges, and a single space between two characters that are not
 white space always starts a word there. So a text's ids are those of its pieces between such spaces, each
-encoded with its space by the tokenizers library and kept in a bounded cache of the worker. A text in which
-white space stands beside white space, or at its end, is encoded whole instead.
+encoded with its space by the tokenizers library and kept in a bounded cache of the worker. A piece that is new
+is put together from its words, which have a cache of their own. A text in which white space stands beside white
+space, or at its end, is encoded whole instead.
 """
 
 from __future__ import annotations
 
 import functools
+from array import array
 from itertools import accumulate
 
 import numpy as np
+import regex
 
-#: Distinct pieces that a worker keeps; about 250 bytes each. Beyond it the cache starts anew.
-CACHE_PIECES = 800_000
+#: Distinct pieces, and distinct words, in one generation of a worker's caches; about 250 bytes each.
+CACHE_PIECES = 300_000
+#: The published word pattern of this family of tokenizers.
+WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+#: The published mapping of bytes to printable characters of this family: what is not printable moves beyond 255.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+SPACE_CHAR = chr(BYTE_CHARS[32])
 
 
 def default_tokenizer() -> str:
@@ -28,15 +39,18 @@ class _Awkward(Exception):
 
 
 class _Cache(dict):
+    """What was used lately: when a generation is full it becomes the old one, from which entries in use move on."""
+
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, piece: str):
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Awkward
-        made = self.make(piece)
+        made = self.old.get(piece)
+        if made is None:
+            made = self.make(piece)
         if len(self) >= CACHE_PIECES:
+            self.old = dict(self)
             self.clear()
         self[piece] = made
         return made
@@ -53,8 +67,24 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._ids = _Cache(lambda p: self._whole(" " + p))
-        self._starts = _Cache(lambda p: self._whole_starts(" " + p))
+        self.model = self.tokenizer.model
+        self._word_ids = _Cache(self._word)
+        self._word_starts = _Cache(self._starts_in_word)
+        self._ids = _Cache(self._piece_ids)
+        self._starts = _Cache(self._piece_starts)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word of the pattern, by the library's model alone."""
+        if word.isascii() and word.isprintable():
+            mapped = word.replace(" ", SPACE_CHAR)
+        else:
+            mapped = word.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARS)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _starts_in_word(self, word: str) -> tuple[int, ...]:
+        if word.isascii():
+            return tuple(accumulate((len(t.value) for t in self.model.tokenize(word.translate(BYTE_CHARS))), initial=0))[:-1]
+        return tuple(a for a, _ in self.tokenizer.encode(word, add_special_tokens=False).offsets)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -62,6 +92,25 @@ class Encoder:
     def _whole_starts(self, text: str) -> bytes:
         return np.array([a for a, _ in self.tokenizer.encode(text, add_special_tokens=False).offsets], "<u4").tobytes()
 
+    def _piece_ids(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self._word(" " + piece)
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise _Awkward
+        core, end = piece[:-1], piece[-1]
+        if core.isalpha() and not end.isalnum():
+            return self._ids[core] + self._word_ids[end]
+        return b"".join(map(self._word_ids.__getitem__, WORD.findall(" " + piece)))
+
+    def _piece_starts(self, piece: str) -> bytes:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise _Awkward
+        out, at = array("I"), 0
+        for word in WORD.findall(" " + piece):
+            out.extend([at + a for a in self._word_starts[word]])
+            at += len(word)
+        return out.tobytes()
+
     def ids(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; none for null or empty text."""
         if not text:
