@@ -105,7 +105,6 @@ def trim_right(cs: str, ref: int) -> tuple[str, int, int]:
     return build([(k, v[::-1] if k in "+-" else v) for k, v in reversed(parse(text))]), r, q
 
 
-@F.pandas_udf("struct<left:string,left_query:long,right:string,right_query:long>")
 def _split(a: pd.Series, b: pd.Series, shared: pd.Series) -> pd.DataFrame:
     rows = []
     for x, y, n in zip(a, b, shared, strict=True):
@@ -118,4 +117,5 @@ def _split(a: pd.Series, b: pd.Series, shared: pd.Series) -> pd.DataFrame:
 
 def split_overlap(a: Column, b: Column, shared: Column) -> Column:
     """Two neighbouring alignments that share reference bases, each trimmed to the middle of what they share."""
-    return _split(a, b, shared.cast("long"))
+    udf = F.pandas_udf(_split, "struct<left:string,left_query:long,right:string,right_query:long>")
+    return udf(a, b, shared.cast("long"))

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from strandweave.plans import event_queries, interval_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = interval_queries.QUERIES | event_queries.QUERIES
+ORACLE: dict[str, str] = interval_queries.ORACLE | event_queries.ORACLE
 FLAGSHIP = "interval_overlap_join"
