@@ -79,8 +79,13 @@ def require_single_runs(df: DataFrame, by: list[str], order: list[str], value: s
     """df, or an error at run time where a value comes back after another one in its group."""
     runs = state_runs(df.withColumn("_one", F.lit(1)), by, order, [value], "_one")
     again = runs.groupBy(*by, value).agg(F.count("*").alias("_n")).where("_n > 1")
-    check = again.select(F.raise_error(F.concat(F.lit("value comes back: "), F.col(value).cast("string"))).cast("int").alias("_x"))
-    return df.join(check, F.lit(True), "left_anti")
+    return df.crossJoin(F.broadcast(refuse(again, F.col(value), "value comes back: "))).where("_fine").drop("_fine")  # one row
+
+
+def refuse(bad: DataFrame, what: Column, message: str) -> DataFrame:
+    """One row, _fine = true; an error at run time, which names one of them, if `bad` has rows."""
+    one = bad.agg(F.count("*").alias("_n"), F.min(what.cast("string")).alias("_x"))
+    return one.select(F.when(F.col("_n") > 0, F.raise_error(F.concat(F.lit(message), F.coalesce("_x", F.lit("null")))).cast("boolean")).otherwise(True).alias("_fine"))
 
 
 def rebin(df: DataFrame, by: list[str], order: list[str], n: int, total: str, length: str, st: str = "st", nd: str = "nd") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandweave import schemas
 from strandweave.functions import vcf_text as V
+from strandweave.operators.ordered import refuse
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -168,8 +169,8 @@ def depth_files(names: DataFrame) -> DataFrame:
     pat = r"^([0-9]+)(_base|_type2_merge_[0-9]+)?\.win\.stat\.gz$"
     d = names.where(F.col("name").rlike(pat)).select("name", F.regexp_extract("name", pat, 1).cast("int").alias("index"), F.when(F.regexp_extract("name", pat, 2) == "_base", "base").otherwise("over").alias("kind"))
     g = d.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("index").alias("k"), F.min("index").alias("lo"), F.max("index").alias("hi"))
-    bad = g.where("n <> k or lo <> 1 or hi <> k").select(F.raise_error(F.concat(F.lit("files are not numbered 1..n, one each: "), F.col("kind"))).cast("int").alias("x"))
-    return d.join(bad, F.lit(True), "left_anti").select("kind", "index", "name")
+    fine = refuse(g.where("n <> k or lo <> 1 or hi <> k"), F.col("kind"), "files are not numbered 1..n, one each: ")
+    return d.crossJoin(F.broadcast(fine)).where("_fine").select("kind", "index", "name")  # one row
 
 
 def read_artifact(spark: SparkSession, run_dir: str, name: str, required: bool = True) -> DataFrame | None:
