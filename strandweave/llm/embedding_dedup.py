@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.components import connected_components
+from strandweave.llm.components import connected_components, local_roots
 from strandweave.runtime import cut
 
 
@@ -79,20 +79,6 @@ def shape_of_tables(n: int, threshold: float, recall: float, bucket: int = 16) -
     return width, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
 
-def _local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest position that each position reaches over the links i-j."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _group_links(t: int, ids, weight, x, codes, side, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions with links in a group, what the links add to n_links, and the position of the local root.
 
@@ -114,7 +100,7 @@ def _group_links(t: int, ids, weight, x, codes, side, threshold: float) -> tuple
         found_j.append(j[ok])
     i, j = np.concatenate(found_i), np.concatenate(found_j)
     add = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
-    root = _local_roots(len(ids), i, j)
+    root = local_roots(len(ids), i, j)
     has = np.flatnonzero(add)
     return order[has], add[has], order[root[has]]
 

@@ -4,11 +4,12 @@ Two collections of `half` short keys each are made from few minhashes (half keys
 key combines one half key of each collection, so that 2 * half * width minhashes give half * half tables of
 2 * width minhashes. Texts with equal shingle sets are one class from the start.
 
-Candidates are settled bucket by bucket without listing the pairs of a bucket: first every member against the
-smallest one; then, in buckets whose members are still in several components, pairs across components only -
-at once where they are few, else against a few pivots of each bucket per round. A pivot that has met all others
-leaves the bucket, so that no pair is lost and each round is linear in the bucket. Every candidate pair is
-confirmed on the words of both whole texts before it counts as a link.
+Texts that share a table key are candidates. The pairs of a bucket are never listed: each member is tied to the
+smallest one, and the connected components of these ties are the candidate groups, so that both texts of every
+candidate pair stand in one group. All pairs of a group are then compared, on the words of the whole texts, by
+posting lists that add up every intersection. A group of more than `block` shingles is cut into blocks of similar set
+size, and each pair of blocks whose sizes can reach the threshold is a group of its own: no task gathers a whole
+hot group, and no pair that could be linked is left out. Blocks yield one edge per linked text, not their pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm import bytekit as bk
-from strandweave.llm.components import connected_components
+from strandweave.llm.components import connected_components, local_roots
 from strandweave.runtime import cut
 
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,27 +64,45 @@ def shingle_set(text: str | None, k: int) -> set:
     return set(zip(*(words[i:] for i in range(k)), strict=False))
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose sets reach num / den of intersection over union, on the words of both texts."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("_ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("_tb"))
+def linked_within(ids: np.ndarray, sets: list[set], side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """(id, smallest id that its links reach here) of texts whose sets reach num / den of intersection over union.
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_id, last = None, set()
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = batch.column("_ta"), batch.column("_tb")
-            keep = []
-            for i in range(len(a)):
-                if a[i] != last_id:
-                    last_id, last = a[i], shingle_set(ta[i].as_py(), k)
-                other = shingle_set(tb[i].as_py(), k)
-                both = len(last & other)
-                if both and den * both >= num * (len(last) + len(other) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
-
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "_ta", "_tb").mapInArrow(confirm, "a long, b long")
+    side: 0 for all pairs of the group; else 1 and 2, and only pairs across the sides count. Intersections are exact:
+    shingles are numbered by equality, and each text adds up the posting lists of its own.
+    """
+    if len(ids) < 2:
+        return []
+    order = np.argsort(ids, kind="stable")
+    ids, side = ids[order], side[order]
+    number: dict = {}
+    coded = [np.fromiter((number.setdefault(x, len(number)) for x in sets[k]), np.int64, len(sets[k])) for k in order.tolist()]
+    size = np.array([len(c) for c in coded])
+    every = np.concatenate(coded)
+    owner = np.repeat(np.arange(len(coded)), size)
+    by = np.argsort(every, kind="stable")
+    posting = owner[by]
+    first = np.searchsorted(every[by], np.arange(len(number) + 1))
+    found_i, found_j = [], []
+    for i, mine in enumerate(coded):
+        n = first[mine + 1] - first[mine]
+        many = n > 1
+        if not many.any():
+            continue
+        n, start = n[many], first[mine[many]]
+        at = np.repeat(start - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(posting[at], minlength=len(coded))
+        both[: i + 1] = 0
+        if side[i]:
+            both[side == side[i]] = 0
+        j = np.flatnonzero(den * both >= num * (size[i] + size - both))
+        j = j[both[j] > 0]
+        found_i.append(np.full(len(j), i))
+        found_j.append(j)
+    if not found_i:
+        return []
+    root = local_roots(len(ids), np.concatenate(found_i), np.concatenate(found_j))
+    own = np.flatnonzero(root != np.arange(len(ids)))
+    return list(zip(ids[own].tolist(), ids[root[own]].tolist(), strict=True))
 
 
 def duplicate_classes(
@@ -93,9 +112,8 @@ def duplicate_classes(
     k: int = 5,
     percent: int = 80,
     half: int = 8,
-    width: int = 2,
-    at_once: int = 2_000_000,
-    pivots: int = 8,
+    width: int = 3,
+    block: int = 250_000,
 ) -> DataFrame:
     """id, n_shingles, component_id, kept of every row of docs.
 
@@ -136,43 +154,44 @@ def duplicate_classes(
         )
     )
     entries = classes.select(F.col("rep").alias("id"), "n", table_keys.alias("key"))
-    shared = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size"), F.min_by("n", "id").alias("pivot_n")).where("size > 1")
-    buckets = cut(entries.join(shared, "key").select("key", "id", "n", "pivot", "pivot_n", "size"), "buckets")
-
-    def fits(a: str, b: str):
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-    texts = rows.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    star = buckets.where((F.col("id") != F.col("pivot")) & fits("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    star = cut(star, "pairs")
-    links = cut(_confirmed(star, _needed(texts, star), k, percent, 100), "links")
-    of = cut(connected_components(links), "components")
-    open_ = buckets.where("size > 2").select("key", "id", "n")
-    tested = star
-    while True:
-        state = open_.join(of, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        by = state.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count("*").alias("cs"))
-        live = by.where("cs > 1").withColumn("pending", (F.col("s") * F.col("s") - F.col("q")) / 2)
-        live = cut(live.select("key", "pending"), "open")
-        pending = live.agg(F.sum("pending")).first()[0]
-        if not pending:
-            break
-        state = cut(state.join(live.select("key"), "key"), "open-rows")
-        if pending <= at_once:
-            left = state
-        else:
-            spot = F.pmod(F.xxhash64("c"), F.lit(pivots))
-            left = state.join(state.groupBy("key", spot.alias("spot")).agg(F.min("id").alias("id")).select("key", "id"), ["key", "id"])
-        p, q = left.select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc")), state.select("key", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"))
-        new = p.join(q, "key").where((F.col("xc") != F.col("yc")) & fits("xn", "yn")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        new = cut(new.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = _confirmed(new, _needed(texts, new), k, percent, 100)
-        links = cut(links.unionByName(more), "links")
-        of = cut(connected_components(links), "components")
-        if pending <= at_once:
-            break
-        tested = cut(tested.unionByName(new), "tested")
-        open_ = cut(state.select("key", "id", "n").join(left.select("key", "id"), ["key", "id"], "left_anti"), "open")
+    shared = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("key", "pivot")
+    ties = entries.join(shared, "key").where("id <> pivot").select("pivot", "id").distinct()
+    groups = cut(connected_components(ties, "pivot", "id").select("id", F.col("component").alias("g")), "groups")
+    sized = groups.join(classes.select(F.col("rep").alias("id"), "n"), "id")
+    sized = sized.join(sized.groupBy("g").agg(F.sum("n").alias("s")), "g")
+    # small groups are one block; large ones are cut by set size, in steps within which sizes can reach the threshold
+    band = F.when(F.col("s") > block, F.floor(F.log("n") / F.log(F.lit(100 / percent)))).otherwise(0).cast("int")
+    sized = cut(sized.withColumn("band", band), "sized")
+    bands = sized.where(F.col("s") > block).groupBy("g", "band").agg(F.ceil(F.sum("n") / block).cast("int").alias("nb"))
+    around = bands.select("g", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.struct("band", "nb").alias("other"))
+    around = around.groupBy("g", "band").agg(F.collect_list("other").alias("near"))  # at most three bands
+    placed = sized.join(around, ["g", "band"], "left").join(bands, ["g", "band"], "left")
+    own = F.struct(F.col("band").alias("b"), F.pmod(F.xxhash64("id"), F.coalesce("nb", F.lit(1))).cast("int").alias("k"))
+    others = F.flatten(F.transform("near", lambda o: F.transform(F.sequence(F.lit(0), o["nb"] - 1), lambda k: F.struct(o["band"].alias("b"), k.cast("int").alias("k")))))
+    pairs = F.transform(others, lambda o: F.struct(F.least(o, own).alias("lo"), F.greatest(o, own).alias("hi"), F.when(o == own, 0).when(own < o, 1).otherwise(2).alias("side")))
+    alone_pair = F.array(F.struct(own.alias("lo"), own.alias("hi"), F.lit(0).alias("side")))
+    placed = placed.withColumn("_p", F.explode(F.coalesce(pairs, alone_pair)))
+    placed = placed.select("id", F.xxhash64("g", "_p.lo.b", "_p.lo.k", "_p.hi.b", "_p.hi.k").alias("_g"), F.col("_p.side").alias("_side"))
+    texts = rows.join(groups.select("id"), "id", "left_semi")
+    work = placed.join(texts, "id").repartition("_g").sortWithinPartitions("_g")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sets, side = None, [], [], []
+        done: list[tuple[int, int]] = []
+        for b in batches:
+            for g, i, text, s in zip(b.column("_g").to_pylist(), b.column("id").to_pylist(), b.column("text"), b.column("_side").to_pylist(), strict=True):
+                if g != now:
+                    done += linked_within(np.array(ids, np.int64), sets, np.array(side), percent, 100)
+                    now, ids, sets, side = g, [], [], []
+                ids.append(i)
+                sets.append(shingle_set(text.as_py(), k))
+                side.append(s)
+        done += linked_within(np.array(ids, np.int64), sets, np.array(side), percent, 100)
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())], ["a", "b"])
+
+    links = cut(work.mapInArrow(compare, "a long, b long"), "links")
+    of = connected_components(links)
     named = classes.select("n", "d1", "d2", "rep").join(of.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     linked = full.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"]).select("id", "n", "component_id")
@@ -187,10 +206,6 @@ def _repeats(rows: DataFrame) -> bool:
     return rows.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count() > 0
 
 
-def _needed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    return texts.join(ids, "id", "left_semi")
-
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, with all their columns, that are the smallest id of their component.
