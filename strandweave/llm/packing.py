@@ -34,78 +34,104 @@ def bin_edges(size: int, exact: int = 128) -> np.ndarray:
     return np.array(edges or [1])
 
 
-def _price(value: np.ndarray, length: np.ndarray, limit: np.ndarray, size: int) -> tuple[float, np.ndarray]:
-    """Best knapsack of capacity size by dual values (unbounded), and how often it takes each item."""
-    best = np.zeros(size + 1)
-    take = np.full(size + 1, -1)
-    useful = np.flatnonzero((value > 1e-12) & (limit > 0))
-    v, w = value[useful], length[useful]
+def _price(value: np.ndarray, length: np.ndarray, size: int) -> tuple[float, np.ndarray]:
+    """Best unbounded knapsack of capacity size by dual values, and how often it takes each item."""
+    useful = np.flatnonzero(value > 1e-12)
+    w, v = length[useful], value[useful]  # lengths grow
+    usable = np.searchsorted(w, np.arange(size + 1), "right").tolist()
+    best, take = np.zeros(size + 1), [-1] * (size + 1)
     for c in range(1, size + 1):
-        ok = w <= c
-        best[c], take[c] = best[c - 1], -1
-        if ok.any():
-            cand = best[c - w[ok]] + v[ok]
+        n = usable[c]
+        best[c] = best[c - 1]
+        if n:
+            cand = best[c - w[:n]] + v[:n]
             k = int(cand.argmax())
             if cand[k] > best[c] + 1e-12:
-                best[c], take[c] = cand[k], useful[ok][k]
+                best[c], take[c] = cand[k], k
     pattern, c = np.zeros(len(value), np.int64), size
     while c > 0:
         if take[c] < 0:
             c -= 1
         else:
-            pattern[take[c]] += 1
-            c -= length[take[c]]
+            pattern[useful[take[c]]] += 1
+            c -= int(w[take[c]])
     return float(best[size]), pattern
 
 
-def solve_patterns(length: np.ndarray, demand: np.ndarray, size: int, rounds: int = 1500, gap: float = 2e-3) -> list[tuple[np.ndarray, int]]:
-    """Patterns (items taken of each bin) and how many sequences use each; together they cover demand exactly."""
-    m = len(length)
-    left = demand.astype(np.int64).copy()
-    out: list[tuple[np.ndarray, int]] = []
-    if left.sum() > 4 * m:
-        columns = [np.where(np.arange(m) == i, size // length[i], 0) for i in range(m)]
-        basis = np.array(columns, float).T
-        inverse = np.diag(1.0 / np.diag(basis))
-        x = inverse @ left
-        for step in range(rounds):
-            dual = inverse.sum(0)
-            value, pattern = _price(dual, length, left, size)
-            if value <= 1 + gap:  # no solution uses less than this one's length divided by value
-                break
-            d = inverse @ pattern
-            ratio = np.where(d > 1e-10, x / np.where(d > 1e-10, d, 1), np.inf)
-            r = int(ratio.argmin())
-            if not np.isfinite(ratio[r]):
-                break
-            columns[r] = pattern
-            basis[:, r] = pattern
-            if step % 64 == 63:
-                inverse = np.linalg.inv(basis)
-            else:
-                row = inverse[r] / d[r]
-                inverse = inverse - np.outer(d, row)
-                inverse[r] = row
-            x = np.maximum(inverse @ left, 0)
-        for k in np.argsort(-x, kind="stable"):
-            n = int(x[k] + 1e-9)
-            n = min([n, *(left[columns[k] > 0] // columns[k][columns[k] > 0]).tolist()])
-            if n > 0:
-                out.append((columns[k], n))
-                left -= n * columns[k]
-    while left.any():  # the rest: at most a few items of each bin
-        room, pattern = size, np.zeros(m, np.int64)
-        for i in range(m - 1, -1, -1):
-            if left[i] and length[i] <= room:
+def first_fit(length: np.ndarray, demand: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns by decreasing length, each used as often as demand allows; they cover demand exactly."""
+    left, out = demand.astype(np.int64).copy(), []
+    while left.any():
+        room, pattern = size, np.zeros(len(length), np.int64)
+        for i in np.flatnonzero(left)[::-1].tolist():
+            if length[i] <= room:
                 n = min(int(left[i]), room // int(length[i]))
                 pattern[i] = n
                 room -= n * int(length[i])
-        n = int((left[pattern > 0] // pattern[pattern > 0]).min())
+        some = pattern > 0
+        n = int((left[some] // pattern[some]).min())
         out.append((pattern, n))
         left -= n * pattern
     return out
 
 
+def solve_patterns(length: np.ndarray, demand: np.ndarray, size: int, rounds: int = 250, gap: float = 4e-3) -> list[tuple[np.ndarray, int]]:
+    """Patterns (items taken of each bin) and how many sequences use each; together they cover demand exactly.
+
+    The linear program starts from patterns of one bin each, takes in those of first fit, and then the column that the
+    knapsack finds at each round, until no solution can be better by more than gap: by the knapsack's bound, or by the
+    tokens themselves (or until rounds end). Counts are rounded down and the rest is placed by first fit; where first fit alone needs no more sequences, its patterns are used.
+    """
+    m = len(length)
+    plain = first_fit(length, demand, size)
+    if m == 0:
+        return plain
+    columns = [np.where(np.arange(m) == i, size // length[i], 0) for i in range(m)]
+    basis = np.array(columns, float).T
+    inverse = np.diag(1.0 / np.diag(basis))
+    x = inverse @ demand
+    ready = [p for p, _ in sorted(plain, key=lambda pn: -pn[1])] * 2
+    material = float(demand @ length) / size
+    pivots = 0
+    for step in range(rounds + len(ready)):
+        dual = inverse.sum(0)
+        if step < len(ready):
+            pattern = ready[step]
+            if dual @ pattern <= 1 + 1e-9:
+                continue
+        else:
+            if x.sum() <= material * (1 + gap):
+                break
+            value, pattern = _price(dual, length, size)
+            if value <= 1 + gap:  # no solution uses less than this one's sequences divided by value
+                break
+        d = inverse @ pattern
+        up = d > 1e-10
+        ratio = np.full(m, np.inf)
+        ratio[up] = x[up] / d[up]
+        r = int(ratio.argmin())
+        columns[r] = pattern
+        basis[:, r] = pattern
+        pivots += 1
+        if pivots % 100 == 0:
+            inverse = np.linalg.inv(basis)
+        else:
+            row = inverse[r] / d[r]
+            inverse = inverse - np.outer(d, row)
+            inverse[r] = row
+        x = np.maximum(inverse @ demand, 0)
+    left = demand.astype(np.int64).copy()
+    out: list[tuple[np.ndarray, int]] = []
+    for k in np.argsort(-x, kind="stable").tolist():
+        some = columns[k] > 0
+        n = min(int(x[k] + 1e-9), int((left[some] // columns[k][some]).min()))
+        if n > 0:
+            out.append((columns[k], n))
+            left -= n * columns[k]
+    out += first_fit(length, left, size)
+    return out if sum(n for _, n in out) <= sum(n for _, n in plain) else plain
+
+
 def _slots(plan: list[tuple[np.ndarray, int]], base: int) -> list[tuple[int, int, int, int, int, int]]:
     """(bin, first rank, end of ranks, items per sequence, first sequence, first slot) of each pattern and bin."""
     used: dict[int, int] = {}

@@ -17,7 +17,7 @@ import numpy as np
 import regex
 
 #: Distinct pieces, and distinct words, in one generation of a worker's caches; about 250 bytes each.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 #: The published word pattern of this family of tokenizers.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -41,6 +41,8 @@ class _Awkward(Exception):
 class _Cache(dict):
     """What was used lately: when a generation is full it becomes the old one, from which entries in use move on."""
 
+    __slots__ = ("make", "old")
+
     def __init__(self, make):
         super().__init__()
         self.make, self.old = make, {}
@@ -67,7 +69,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self._word_ids = _Cache(self._word)
         self._word_starts = _Cache(self._starts_in_word)
         self._ids = _Cache(self._piece_ids)
@@ -79,11 +81,11 @@ class Encoder:
             mapped = word.replace(" ", SPACE_CHAR)
         else:
             mapped = word.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARS)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
 
     def _starts_in_word(self, word: str) -> tuple[int, ...]:
         if word.isascii():
-            return tuple(accumulate((len(t.value) for t in self.model.tokenize(word.translate(BYTE_CHARS))), initial=0))[:-1]
+            return tuple(accumulate((len(t.value) for t in self.tokenize(word.translate(BYTE_CHARS))), initial=0))[:-1]
         return tuple(a for a, _ in self.tokenizer.encode(word, add_special_tokens=False).offsets)
 
     def _whole(self, text: str) -> bytes:
@@ -93,8 +95,9 @@ class Encoder:
         return np.array([a for a, _ in self.tokenizer.encode(text, add_special_tokens=False).offsets], "<u4").tobytes()
 
     def _piece_ids(self, piece: str) -> bytes:
-        if piece.isalpha():
-            return self._word(" " + piece)
+        if piece.isalpha():  # a word of its own
+            mapped = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(BYTE_CHARS)
+            return array("I", [t.id for t in self.tokenize(SPACE_CHAR + mapped)]).tobytes()
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Awkward
         core, end = piece[:-1], piece[-1]
