@@ -13,9 +13,10 @@ from strandweave.operators.range_join import range_join
 def clean_failed_layout(windows: DataFrame, excluded: DataFrame, on: list[str], value: str, factor: float = 3.0, width: int = 1_000_000) -> DataFrame:
     """windows with is_failed: value above factor x median, or contained in an excluded interval; order (is_failed, row_id)."""
     mid = windows.agg((F.median(value) * factor).alias("_limit"))
-    inside = range_join(windows.select("row_id", *on, "st", "nd"), excluded, on, "contained", width).select("row_id").distinct().withColumn("_in", F.lit(True))
-    d = windows.crossJoin(F.broadcast(mid)).join(inside, "row_id", "left")  # mid: one row
-    return d.withColumn("is_failed", (F.col(value) > F.col("_limit")) | F.coalesce("_in", F.lit(False))).drop("_limit", "_in")
+    inside = range_join(windows, excluded, on, "contained", width, how="left_semi").withColumn("_in", F.lit(True))
+    beside = range_join(windows, excluded, on, "contained", width, how="left_anti").withColumn("_in", F.lit(False))
+    d = inside.unionByName(beside).crossJoin(F.broadcast(mid))  # mid: one row
+    return d.withColumn("is_failed", (F.col(value) > F.col("_limit")) | F.col("_in")).drop("_limit", "_in")
 
 
 def multi_end_contigs(nodes: DataFrame, window: int = 500_000) -> DataFrame:
