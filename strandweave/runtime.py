@@ -10,6 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Arrow batches that Python workers hold at once, for sessions that leave Spark's defaults as they are.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+DEFAULTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000",), "spark.sql.execution.arrow.maxBytesPerBatch": ("-1", "0", "268435456", str((1 << 63) - 1), str((1 << 31) - 1))}
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -22,6 +25,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) in (None, *DEFAULTS.get(key, ())):
+            spark.conf.set(key, value)
     return spark
 
 
