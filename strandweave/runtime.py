@@ -9,6 +9,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow batches that Python workers hold at once, for sessions that leave Spark's defaults as they are.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
@@ -88,3 +89,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str, most: int = 2_000_000) -> DataFrame:
+    """Semi or anti join of df with distinct ids. At most `most` of them are broadcast, so that df isn't shuffled; more
+    are joined as any table. ids should be cheap to count."""
+    few = ids.limit(most + 1).count() <= most
+    return df.join(F.broadcast(ids) if few else ids, key, how)
