@@ -73,8 +73,8 @@ class Lattice:
             out[hit] = self.piece[i[hit]]
         return out
 
-    def forward(self, words: np.ndarray, length: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, dict]:
-        """alpha (positions x words x languages), raised by LIFT for each byte, and pieces found by (end, length).
+    def forward(self, words: np.ndarray, length: np.ndarray, prob: np.ndarray, keep: bool = True) -> tuple[np.ndarray, dict]:
+        """alpha (positions x words x languages), raised by LIFT for each byte, and if kept, pieces found by (end, length).
 
         words: bytes padded to a common width of at most MAX_WORD + 1, with their hashes' lower case; prob: (pieces
         + 1) x languages, the last row 0. With the lift, alpha stays within the range of doubles.
@@ -95,7 +95,8 @@ class Lattice:
                 some = np.flatnonzero(p < self.size)
                 if len(some):
                     w, p = live[some], p[some]
-                    found[e, k] = w, p
+                    if keep:
+                        found[e, k] = w, p
                     alpha[e, w] += alpha[e - k, w] * lifted[k][p]
         return alpha, found
 
@@ -151,10 +152,10 @@ class Model:
         new = np.flatnonzero(~known)
         if len(new):
             order = new[np.argsort(ends[new] - starts[new], kind="stable")]
-            for i in range(0, len(order), 4096):
-                part = order[i : i + 4096]
+            for i in range(0, len(order), 2048):
+                part = order[i : i + 2048]
                 words, length = _pad(data, starts[part], ends[part])
-                alpha, _ = self._lattice.forward(words, length, self.prob)
+                alpha, _ = self._lattice.forward(words, length, self.prob, keep=False)
                 out[part] = np.log(np.maximum(alpha[length, np.arange(len(part))], 1e-300)) - length[:, None] * np.log(LIFT)
             if len(self._keys) + len(new) > CACHE_WORDS:
                 self._keys, self._logs = self._keys[:0], self._logs[:0]

@@ -2,7 +2,7 @@
 
 Byte-level BPE cuts a text into words before it merges, and a single space between two characters that are not
 white space always starts a word there. So a text's ids are those of its pieces between such spaces, each
-encoded with its space by the tokenizers library and kept in a bounded cache of the worker. A piece that is new
+encoded with its space by the tokenizers library and kept in a bounded cache of the task. A piece that is new
 is put together from its words, which have a cache of their own. A text in which white space stands beside white
 space, or at its end, is encoded whole instead.
 """
@@ -10,14 +10,15 @@ space, or at its end, is encoded whole instead.
 from __future__ import annotations
 
 import functools
+import os
 from array import array
 from itertools import accumulate
 
 import numpy as np
 import regex
 
-#: Distinct pieces, and distinct words, in one generation of a worker's caches; about 250 bytes each.
-CACHE_PIECES = 600_000
+#: Distinct pieces, and distinct words, in one generation of a task's caches; about 200 bytes each.
+CACHE_PIECES = 400_000
 #: The published word pattern of this family of tokenizers.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -34,6 +35,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    out = Tokenizer.from_file(path)
+    out.encode_special_tokens = True  # their strings in a text are ordinary text
+    return out
+
+
 class _Awkward(Exception):
     """White space that may belong to either side."""
 
@@ -62,13 +73,7 @@ class Encoder:
     """Ids and character offsets of whole texts, equal to those of one call over the text."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer = _tokenizer(path)
         self.tokenize = self.tokenizer.model.tokenize
         self._word_ids = _Cache(self._word)
         self._word_starts = _Cache(self._starts_in_word)
@@ -143,7 +148,6 @@ class Encoder:
         return np.frombuffer(self._whole_starts(text), "<u4").astype(np.int64)
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """The encoder of this process; workers are reused between tasks, and so is what they have cached."""
+    """An encoder for one task: workers are reused by later stages, which shouldn't find its caches there."""
     return Encoder(path)
