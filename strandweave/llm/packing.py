@@ -86,18 +86,19 @@ def solve_patterns(length: np.ndarray, demand: np.ndarray, size: int, rounds: in
     plain = first_fit(length, demand, size)
     if m == 0:
         return plain
+    # products of a few hundred numbers are summed plainly: threads of a linear-algebra library cost more than they save
+    times = lambda a, v: (a * v).sum(1)
     columns = [np.where(np.arange(m) == i, size // length[i], 0) for i in range(m)]
     basis = np.array(columns, float).T
     inverse = np.diag(1.0 / np.diag(basis))
-    x = inverse @ demand
+    x = times(inverse, demand)
     ready = [p for p, _ in sorted(plain, key=lambda pn: -pn[1])] * 2
-    material = float(demand @ length) / size
-    pivots = 0
+    material = float((demand * length).sum()) / size
     for step in range(rounds + len(ready)):
         dual = inverse.sum(0)
         if step < len(ready):
             pattern = ready[step]
-            if dual @ pattern <= 1 + 1e-9:
+            if (dual * pattern).sum() <= 1 + 1e-9:
                 continue
         else:
             if x.sum() <= material * (1 + gap):
@@ -105,21 +106,21 @@ def solve_patterns(length: np.ndarray, demand: np.ndarray, size: int, rounds: in
             value, pattern = _price(dual, length, size)
             if value <= 1 + gap:  # no solution uses less than this one's sequences divided by value
                 break
-        d = inverse @ pattern
+        d = times(inverse, pattern)
         up = d > 1e-10
         ratio = np.full(m, np.inf)
         ratio[up] = x[up] / d[up]
         r = int(ratio.argmin())
         columns[r] = pattern
         basis[:, r] = pattern
-        pivots += 1
-        if pivots % 100 == 0:
+        row = inverse[r] / d[r]
+        inverse = inverse - np.outer(d, row)
+        inverse[r] = row
+        x = times(inverse, demand)
+        if np.abs(times(basis, x) - demand).max() > 1e-6 * demand.max():  # what rounding has added up
             inverse = np.linalg.inv(basis)
-        else:
-            row = inverse[r] / d[r]
-            inverse = inverse - np.outer(d, row)
-            inverse[r] = row
-        x = np.maximum(inverse @ demand, 0)
+            x = times(inverse, demand)
+        x = np.maximum(x, 0)
     left = demand.astype(np.int64).copy()
     out: list[tuple[np.ndarray, int]] = []
     for k in np.argsort(-x, kind="stable").tolist():
