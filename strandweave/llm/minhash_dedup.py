@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from strandweave.llm import bytekit as bk
 from strandweave.llm.components import connected_components, local_roots
-from strandweave.runtime import cut
+from strandweave.runtime import by_ids, cut
 
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -113,7 +113,7 @@ def duplicate_classes(
     percent: int = 80,
     half: int = 8,
     width: int = 3,
-    block: int = 250_000,
+    block: int = 120_000,
 ) -> DataFrame:
     """id, n_shingles, component_id, kept of every row of docs.
 
@@ -172,7 +172,7 @@ def duplicate_classes(
     alone_pair = F.array(F.struct(own.alias("lo"), own.alias("hi"), F.lit(0).alias("side")))
     placed = placed.withColumn("_p", F.explode(F.coalesce(pairs, alone_pair)))
     placed = placed.select("id", F.xxhash64("g", "_p.lo.b", "_p.lo.k", "_p.hi.b", "_p.hi.k").alias("_g"), F.col("_p.side").alias("_side"))
-    texts = rows.join(groups.select("id"), "id", "left_semi")
+    texts = by_ids(rows, groups.select("id"), "id", "left_semi")
     work = placed.join(texts, "id").repartition("_g").sortWithinPartitions("_g")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +212,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> Data
 
     Rows of null id stay. Of rows that repeat an id one stays, the largest by text and then by the other columns.
     """
-    found = cut(duplicate_classes(docs, id_col=id_col, **options), "duplicates")
-    out = docs.join(found.where("not kept").select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+    found = duplicate_classes(docs, id_col=id_col, **options)
+    gone = cut(found.where("not kept").select(id_col).distinct(), "gone")
+    out = by_ids(docs, gone, id_col, "left_anti").select(docs.columns)
     if _repeats(docs.select(F.col(id_col).alias("id"))):
         rest = [c for c in docs.columns if c not in (id_col, "text")]
         one = out.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.struct("text", *rest)).alias("_one"))
