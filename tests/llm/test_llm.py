@@ -544,3 +544,12 @@ def test_pipeline_of_odd_rows(spark, sf_dir, odd):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf_dir)
     assert empty.count() == 0
+
+
+@pytest.mark.parametrize("name", ["op1_itq_dedup", "op3_decontamination", "op9_minhash_dedup"])
+def test_query_equals_sql(name, spark, sf_dir):
+    import oracle_compare as oc
+
+    from strandweave.llm.oracle import ORACLE
+
+    oc.assert_same(queries.queries()[name](spark, sf_dir), oc.connect(sf_dir), ORACLE[name])
