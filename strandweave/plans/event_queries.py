@@ -228,7 +228,7 @@ def path_composition(spark, d):
 
 
 SQL_path_composition = """WITH s AS (SELECT user_id, event_type, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS amount FROM events GROUP BY ALL HAVING sum(CAST(round(value * 100) AS BIGINT)) >= 2000)
-SELECT user_id, event_type, amount, round(amount / sum(amount) OVER (PARTITION BY user_id), 6) AS share, rank() OVER (PARTITION BY user_id ORDER BY amount DESC) AS rank FROM s"""
+SELECT user_id, event_type, amount, round(amount / sum(amount) OVER (PARTITION BY user_id), 6) AS share, CAST(rank() OVER (PARTITION BY user_id ORDER BY amount DESC) AS INT) AS rank FROM s"""
 
 
 def reason_counters(spark, d):
@@ -317,7 +317,7 @@ def top_representative(spark, d):
     return t.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("source", "rank", "doc_id", "n")
 
 
-SQL_top_representative = """SELECT source, rank, doc_id, n FROM (SELECT doc_id, source, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rank FROM documents) WHERE rank <= 3"""
+SQL_top_representative = """SELECT source, CAST(rank AS INT) AS rank, doc_id, n FROM (SELECT doc_id, source, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rank FROM documents) WHERE rank <= 3"""
 
 
 def ordered_groups(spark, d):

@@ -92,7 +92,7 @@ def interval_overlap_join(spark, d):
     return hit.groupBy("chr", "ord").agg(F.count("*").alias("n"), F.sum(share).alias("shared"), F.min("st").alias("first_st"))
 
 
-SQL_interval_overlap_join = f"""WITH {SQL_IV}, {SQL_BED} SELECT iv.chr, ord, count(*) AS n, sum(least(nd, r_nd) - greatest(st, r_st)) AS shared, min(st) AS first_st
+SQL_interval_overlap_join = f"""WITH {SQL_IV}, {SQL_BED} SELECT iv.chr, ord, count(*) AS n, CAST(sum(least(nd, r_nd) - greatest(st, r_st)) AS BIGINT) AS shared, min(st) AS first_st
 FROM iv JOIN bed ON iv.chr = bed.chr AND st < r_nd AND r_st < nd GROUP BY ALL"""
 
 

@@ -130,7 +130,7 @@ def rescue_order(spark, d):
     return K.rescue_first(p).select("path_id", "col")
 
 
-SQL_rescue_order = """SELECT p_partkey AS path_id, row_number() OVER (ORDER BY p_size > 45 DESC, p_retailprice DESC, p_partkey) - 1 AS col FROM part"""
+SQL_rescue_order = """SELECT p_partkey AS path_id, CAST(row_number() OVER (ORDER BY p_size > 45 DESC, p_retailprice DESC, p_partkey) - 1 AS INT) AS col FROM part"""
 
 
 def amplicon_spans(spark, d):
