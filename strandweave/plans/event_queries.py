@@ -207,14 +207,14 @@ SQL_event_weight_agg = """SELECT l_partkey AS event, round(sum(o_totalprice), 2)
 
 def usage_counter(spark, d):
     """Types of a user's successive events as nodes: uses of three junctions, a use taking up both its events."""
-    e = events(spark, d).where("user_id < 60")
+    e = events(spark, d)
     code = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).when(F.col("event_type") == "purchase", 3).otherwise(4)
     p = e.withColumn("n", code.cast("long")).groupBy(F.col("user_id").alias("path_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "n"))), lambda x: x["n"]).alias("nodes"))
     j = spark.createDataFrame([(1, 2), (2, 3), (4, 1)], "a long, b long")
     return A.path_events(p, j)
 
 
-SQL_usage_counter = """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS n FROM events WHERE user_id < 60),
+SQL_usage_counter = """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS n FROM events),
 p AS (SELECT a.user_id, a.k, least(a.n, b.n) AS a, greatest(a.n, b.n) AS b, (least(a.n, b.n), greatest(a.n, b.n)) IN ((1, 2), (2, 3), (1, 4)) AS hit FROM e a JOIN e b ON a.user_id = b.user_id AND b.k = a.k + 1),
 r AS (SELECT user_id, CAST(1 AS BIGINT) AS k FROM e WHERE k = 1 UNION ALL SELECT r.user_id, r.k + CASE WHEN p.hit THEN 2 ELSE 1 END FROM r JOIN p ON p.user_id = r.user_id AND p.k = r.k)
 SELECT p.user_id AS path_id, CAST(p.a AS BIGINT) AS a, CAST(p.b AS BIGINT) AS b, count(*) AS cnt FROM r JOIN p ON p.user_id = r.user_id AND p.k = r.k WHERE p.hit GROUP BY ALL"""
@@ -386,26 +386,26 @@ SQL_identifier_sanitize = """SELECT page_id, regexp_replace(CASE WHEN url IS NUL
 
 
 def karyotype_text(spark, d):
-    """users' event runs as chromosomes and strands: karyotype text of the first six pieces."""
-    e = events(spark, d).where("user_id < 100").select("user_id", "event_id", F.concat(F.lit("chr"), F.when(F.col("event_type") == "view", "1").when(F.col("event_type") == "click", "2").otherwise("X")).alias("chr"), F.when(F.col("value") > 50, "-").otherwise("+").alias("strand"), F.lit(1).alias("length"))
-    p = E.karyotype_pieces(e.withColumnRenamed("user_id", "path_id").withColumnRenamed("event_id", "step"), "path_id", "step").where("run < 6")
+    """users' event runs as chromosomes and strands: karyotype text."""
+    e = events(spark, d).select("user_id", "event_id", F.concat(F.lit("chr"), F.when(F.col("event_type") == "view", "1").when(F.col("event_type") == "click", "2").otherwise("X")).alias("chr"), F.when(F.col("value") > 50, "-").otherwise("+").alias("strand"), F.lit(1).alias("length"))
+    p = E.karyotype_pieces(e.withColumnRenamed("user_id", "path_id").withColumnRenamed("event_id", "step"), "path_id", "step")
     g = p.groupBy("path_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "chr", "strand"))), lambda x: F.struct(x["chr"].alias("chr"), x["strand"].alias("strand"))).alias("pieces"))
     return g.select("path_id", X.karyotype(F.col("pieces")).alias("text"))
 
 
-SQL_karyotype_text = """WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN '1' WHEN 'click' THEN '2' ELSE 'X' END AS c, CASE WHEN value > 50 THEN '-' ELSE '+' END AS s FROM events WHERE user_id < 100),
+SQL_karyotype_text = """WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN '1' WHEN 'click' THEN '2' ELSE 'X' END AS c, CASE WHEN value > 50 THEN '-' ELSE '+' END AS s FROM events),
 a AS (SELECT *, CASE WHEN lag(c || s) OVER w IS NULL OR lag(c || s) OVER w = c || s THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM a),
-r AS (SELECT user_id, run, any_value(c) AS c, any_value(s) AS s FROM b WHERE run < 6 GROUP BY ALL), t AS (SELECT *, lag(c) OVER w AS pc, lag(s) OVER w AS ps FROM r WINDOW w AS (PARTITION BY user_id ORDER BY run)),
+r AS (SELECT user_id, run, any_value(c) AS c, any_value(s) AS s FROM b GROUP BY ALL), t AS (SELECT *, lag(c) OVER w AS pc, lag(s) OVER w AS ps FROM r WINDOW w AS (PARTITION BY user_id ORDER BY run)),
 u AS (SELECT user_id, run, CASE WHEN pc IS NULL THEN NULL WHEN pc <> c THEN 't(' || pc || ';' || c || ')' WHEN ps <> s THEN 'inv(' || pc || ')' END AS x FROM t),
 f AS (SELECT user_id, x, min(run) AS run FROM u WHERE x IS NOT NULL GROUP BY ALL), g AS (SELECT user_id, string_agg(x, ',' ORDER BY run) AS text FROM f GROUP BY user_id)
 SELECT r.user_id AS path_id, coalesce(g.text, r.c) AS text FROM r LEFT JOIN g ON r.user_id = g.user_id WHERE r.run = 0"""
 
 
 def simple_paths_k(spark, d):
-    """R2: simple paths of two or three steps between nations, over edges from customers' nations to suppliers' they buy most from."""
+    """R2: simple paths of one to three steps between nations, over edges from customers' nations to suppliers' they buy most from."""
     e = nation_edges(spark, d)
     n = e.select(F.col("src").alias("node")).distinct()
-    p = G.simple_paths(e, n.where("node < 3"), e.select(F.col("dst").alias("node")).distinct(), 3)
+    p = G.simple_paths(e, n, e.select(F.col("dst").alias("node")).distinct(), 3)
     return p.select("src", "dst", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"))
 
 
@@ -420,7 +420,7 @@ def nation_edges(spark, d, most: int = 3):
 
 _EDGES = """g AS (SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL),
 e AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY q DESC, dst) AS k FROM g) WHERE k <= 3)"""
-SQL_simple_paths_k = f"""WITH RECURSIVE {_EDGES}, p AS (SELECT src, dst, [src, dst] AS nodes, 1 AS n FROM e WHERE src < 3 UNION ALL SELECT p.src, e.dst, list_append(nodes, e.dst), n + 1 FROM p JOIN e ON p.dst = e.src WHERE n < 3 AND NOT list_contains(nodes, e.dst))
+SQL_simple_paths_k = f"""WITH RECURSIVE {_EDGES}, p AS (SELECT src, dst, [src, dst] AS nodes, 1 AS n FROM e UNION ALL SELECT p.src, e.dst, list_append(nodes, e.dst), n + 1 FROM p JOIN e ON p.dst = e.src WHERE n < 3 AND NOT list_contains(nodes, e.dst))
 SELECT src, dst, array_to_string(nodes, '>') AS path FROM p"""
 
 
@@ -434,13 +434,13 @@ s AS (SELECT list_sort([x1, x2, x3, x4]) AS l FROM c WHERE x1 <> x2 AND x1 <> x3
 
 
 def shortest_fill(spark, d):
-    """Shortest distances from three nations to all others in the same graph, an edge costing 1 + its end's key."""
+    """Shortest distances between all nations in the same graph, an edge costing 1 + its end's key."""
     e = nation_edges(spark, d).withColumn("dist", (F.col("dst") + 1).cast("double"))
-    pairs = e.select("src").distinct().where("src < 3").crossJoin(e.select("dst").distinct()).where("src <> dst")  # 3 x 25 nations
+    pairs = e.select("src").distinct().crossJoin(e.select("dst").distinct()).where("src <> dst")  # 25 x 25 nations
     return G.shortest_distances(e, pairs).select("src", "dst", F.col("dist").cast("long").alias("dist"))
 
 
-SQL_shortest_fill = f"""WITH RECURSIVE {_EDGES}, p AS (SELECT src, dst, dst + 1 AS dist, [src, dst] AS seen FROM e WHERE src < 3 UNION ALL SELECT p.src, e.dst, p.dist + e.dst + 1, list_append(seen, e.dst) FROM p JOIN e ON p.dst = e.src WHERE NOT list_contains(seen, e.dst) AND len(seen) < 8)
+SQL_shortest_fill = f"""WITH RECURSIVE {_EDGES}, p AS (SELECT src, dst, dst + 1 AS dist, [src, dst] AS seen FROM e UNION ALL SELECT p.src, e.dst, p.dist + e.dst + 1, list_append(seen, e.dst) FROM p JOIN e ON p.dst = e.src WHERE NOT list_contains(seen, e.dst) AND len(seen) < 10)
 SELECT src, dst, CAST(min(dist) AS BIGINT) AS dist FROM p GROUP BY ALL"""
 
 
@@ -456,13 +456,13 @@ SQL_label_components = """WITH o AS (SELECT o_orderkey, min(o_orderkey) OVER (PA
 
 
 def gram_matrix(spark, d):
-    """Gram matrix of the first eight components of all vectors."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("bin"), F.posexplode(F.slice("embedding", 1, 8)).alias("col", "value"))
+    """Gram matrix of the components of all vectors."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("bin"), F.posexplode("embedding").alias("col", "value"))
     g = M.gram(e.withColumn("value", F.col("value").cast("double")))
     return g.select("i", "j", F.round("value", 4).alias("value"))
 
 
-SQL_gram_matrix = """WITH e AS (SELECT vec_id AS bin, unnest(generate_series(0, 7)) AS col, embedding FROM embeddings), v AS (SELECT bin, col, CAST(embedding[col + 1] AS DOUBLE) AS value FROM e)
+SQL_gram_matrix = """WITH e AS (SELECT vec_id AS bin, unnest(generate_series(0, len(embedding) - 1)) AS col, embedding FROM embeddings), v AS (SELECT bin, col, CAST(embedding[col + 1] AS DOUBLE) AS value FROM e)
 SELECT CAST(a.col AS INT) AS i, CAST(b.col AS INT) AS j, round(sum(a.value * b.value), 4) AS value FROM v a JOIN v b ON a.bin = b.bin AND a.col <= b.col GROUP BY ALL"""
 
 
@@ -503,17 +503,18 @@ def filter_provenance(spark, d):
     l = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("event"), F.col("l_orderkey").alias("col")).agg(F.count("*").alias("cnt"))
     ev = table(spark, d, "part").select(F.col("p_partkey").alias("event"))
     o = table(spark, d, "orders").withColumnRenamed("o_orderkey", "col")
-    act0, act1 = o.where("col % 3 = 0"), o.where("col % 3 = 0 and o_orderstatus = 'F'")
-    explicit = ev.where("event % 50 = 0").withColumn("reason", F.lit("EXPLICIT"))
-    direct = ev.where("event % 2 = 0").withColumn("reason", F.lit("DIRECT"))
+    act0, act1 = o.where("o_totalprice > 300000"), o.where("o_totalprice > 300000 and o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")
+    part = table(spark, d, "part").withColumnRenamed("p_partkey", "event")
+    explicit = part.where("p_size >= 49").select("event", F.lit("EXPLICIT").alias("reason"))
+    direct = part.where("p_retailprice > 950").select("event", F.lit("DIRECT").alias("reason"))
     r0 = E.initial_reasons(ev, l, act0, explicit)
     r1 = E.next_reasons(ev, r0, l, act1, direct, "base")
     return r1.groupBy("reason").agg(F.count("*").alias("n"), F.sum("event").alias("sum_event"))
 
 
-SQL_filter_provenance = """WITH u AS (SELECT DISTINCT l_partkey AS event, l_orderkey AS col FROM lineitem), a AS (SELECT p_partkey AS event, EXISTS (SELECT 1 FROM u WHERE u.event = p_partkey) AS c, EXISTS (SELECT 1 FROM u JOIN orders ON o_orderkey = col WHERE u.event = p_partkey AND col % 3 = 0) AS a0,
-EXISTS (SELECT 1 FROM u JOIN orders ON o_orderkey = col WHERE u.event = p_partkey AND col % 3 = 0 AND o_orderstatus = 'F') AS a1 FROM part),
-r AS (SELECT event, CASE WHEN event % 50 = 0 THEN 'EXPLICIT' WHEN NOT c THEN 'FILTERED_02_NO_ELIGIBLE_PATH' WHEN NOT a0 THEN 'FILTERED_02_COFILTERED_PATH' WHEN a1 THEN NULL WHEN event % 2 = 0 THEN 'DIRECT' ELSE 'FILTERED_23_COFILTERED_PATH' END AS reason FROM a)
+SQL_filter_provenance = """WITH u AS (SELECT DISTINCT l_partkey AS event, l_orderkey AS col FROM lineitem), a AS (SELECT p_partkey AS event, p_size, p_retailprice, EXISTS (SELECT 1 FROM u WHERE u.event = p_partkey) AS c, EXISTS (SELECT 1 FROM u JOIN orders ON o_orderkey = col WHERE u.event = p_partkey AND o_totalprice > 300000) AS a0,
+EXISTS (SELECT 1 FROM u JOIN orders ON o_orderkey = col WHERE u.event = p_partkey AND o_totalprice > 300000 AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') AS a1 FROM part),
+r AS (SELECT event, CASE WHEN p_size >= 49 THEN 'EXPLICIT' WHEN NOT c THEN 'FILTERED_02_NO_ELIGIBLE_PATH' WHEN NOT a0 THEN 'FILTERED_02_COFILTERED_PATH' WHEN a1 THEN NULL WHEN p_retailprice > 950 THEN 'DIRECT' ELSE 'FILTERED_23_COFILTERED_PATH' END AS reason FROM a)
 SELECT reason, count(*) AS n, CAST(sum(event) AS BIGINT) AS sum_event FROM r WHERE reason IS NOT NULL GROUP BY 1"""
 
 
@@ -531,12 +532,12 @@ CASE WHEN p_size < 10 AND p_partkey % 2 = 0 THEN '-1' ELSE printf('%.2f', p_size
 
 
 def nnls_fit(spark, d):
-    """Non-negative fit of a vector's ninth component by its first eight; weights, with the fit's error."""
+    """Non-negative fit of a vector's last component by all others."""
     from strandweave.operators import solver as L
 
-    e = table(spark, d, "embeddings").where("size(embedding) >= 9")
-    m = e.select(F.col("vec_id").cast("int").alias("bin"), F.posexplode(F.slice("embedding", 1, 8)).alias("col", "value")).withColumn("value", F.col("value").cast("double"))
-    t = e.select(F.col("vec_id").cast("int").alias("bin"), F.col("embedding")[8].cast("double").alias("value"))
+    e = table(spark, d, "embeddings").where("size(embedding) >= 2")
+    m = e.select(F.col("vec_id").cast("int").alias("bin"), F.posexplode(F.slice("embedding", F.lit(1), F.size("embedding") - 1)).alias("col", "value")).withColumn("value", F.col("value").cast("double"))
+    t = e.select(F.col("vec_id").cast("int").alias("bin"), F.element_at("embedding", -1).cast("double").alias("value"))
     return L.fit(m, t).withColumn("w", F.round("w", 8))
 
 

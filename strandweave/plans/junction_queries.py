@@ -100,28 +100,30 @@ SQL_inside_span_count = f"""SELECT s_suppkey AS jump, count(DISTINCT o_custkey)
 
 
 def tolerance_match(spark, d):
-    """Orders as graph edges and as indels of their customer's next one: nearest within ten days at both ends."""
+    """Orders, moved by up to four days, as graph edges: nearest order of their status and group within ten days at both ends."""
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("event_type"), (F.col("o_custkey") % 50).cast("string").alias("chr"), days("o_orderdate").alias("st"), (days("o_orderdate") + F.col("o_custkey") % 20).alias("nd"))
-    e = o.where("o_orderkey % 3 = 0").withColumnRenamed("o_orderkey", "edge")
+    shift = F.col("o_orderkey") % 5
+    e = o.withColumn("st", F.col("st") + shift).withColumn("nd", F.col("nd") + shift).withColumnRenamed("o_orderkey", "edge")
     return E.match_edges(e, o.withColumnRenamed("o_orderkey", "event"), 10)
 
 
 SQL_tolerance_match = f"""WITH o AS (SELECT o_orderkey, o_orderstatus AS t, o_custkey % 50 AS c, {_D.format('o_orderdate')} AS st, {_D.format('o_orderdate')} + o_custkey % 20 AS nd FROM orders),
-j AS (SELECT a.o_orderkey AS edge, b.o_orderkey AS event, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY abs(a.st - b.st) + abs(a.nd - b.nd), b.o_orderkey) AS k FROM o a JOIN o b ON a.t = b.t AND a.c = b.c AND abs(a.st - b.st) <= 10 AND abs(a.nd - b.nd) <= 10 WHERE a.o_orderkey % 3 = 0)
+e AS (SELECT o_orderkey, t, c, st + o_orderkey % 5 AS st, nd + o_orderkey % 5 AS nd FROM o),
+j AS (SELECT a.o_orderkey AS edge, b.o_orderkey AS event, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY abs(a.st - b.st) + abs(a.nd - b.nd), b.o_orderkey) AS k FROM e a JOIN o b ON a.t = b.t AND a.c = b.c AND abs(a.st - b.st) <= 10 AND abs(a.nd - b.nd) <= 10)
 SELECT edge, event FROM j WHERE k = 1"""
 
 
 def junction_opposites(spark, d):
-    """Junctions of customers' order pairs whose directions differ at both ends, both ends within 30 days."""
-    o = table(spark, d, "orders").where("o_custkey % 7 = 0").select(F.col("o_orderkey"), (F.col("o_custkey") % 2 + 1).alias("c1"), (F.col("o_custkey") % 3 + 1).alias("c2"), days("o_orderdate").alias("day"), (F.col("o_totalprice") % 2000).cast("long").alias("p"))
+    """Junctions of customers' order pairs whose directions differ at both ends, both ends within 8 days."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey"), (F.col("o_custkey") % 2 + 1).alias("c1"), (F.col("o_custkey") % 3 + 1).alias("c2"), days("o_orderdate").alias("day"), (F.col("o_totalprice") % 2000).cast("long").alias("p"))
     j = o.select(F.col("o_orderkey").cast("string").alias("event"), (F.col("o_orderkey") * 2).alias("a_id"), F.concat(F.lit("chr"), "c1").alias("a_chr"), F.col("day").alias("a_st"), (F.col("day") + 3).alias("a_nd"), F.when(F.col("p") % 2 == 0, "+").otherwise("-").alias("a_dir"),
                  (F.col("o_orderkey") * 2 + 1).alias("b_id"), F.concat(F.lit("chr"), F.col("c2") + 10).alias("b_chr"), F.col("p").alias("b_st"), (F.col("p") + 3).alias("b_nd"), F.when(F.col("p") % 3 == 0, "+").otherwise("-").alias("b_dir"))
-    return J.opposite_pairs(j, 30)
+    return J.opposite_pairs(j, 8)
 
 
-SQL_junction_opposites = f"""WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS event, o_custkey % 2 AS c1, o_custkey % 3 AS c2, {_D.format('o_orderdate')} AS s, CAST(trunc(o_totalprice % 2000) AS BIGINT) AS p FROM orders WHERE o_custkey % 7 = 0)
+SQL_junction_opposites = f"""WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS event, o_custkey % 2 AS c1, o_custkey % 3 AS c2, {_D.format('o_orderdate')} AS s, CAST(trunc(o_totalprice % 2000) AS BIGINT) AS p FROM orders)
 SELECT a.event AS x, b.event AS y FROM o a JOIN o b ON a.c1 = b.c1 AND a.c2 = b.c2 AND a.event < b.event AND (a.p % 2 = 0) <> (b.p % 2 = 0) AND (a.p % 3 = 0) <> (b.p % 3 = 0)
-AND (abs(a.s - b.s) < 3 OR least(abs(b.s - a.s - 3), abs(b.s + 3 - a.s)) <= 30) AND (abs(a.p - b.p) < 3 OR least(abs(b.p - a.p - 3), abs(b.p + 3 - a.p)) <= 30)"""
+AND (abs(a.s - b.s) < 3 OR least(abs(b.s - a.s - 3), abs(b.s + 3 - a.s)) <= 8) AND (abs(a.p - b.p) < 3 OR least(abs(b.p - a.p - 3), abs(b.p + 3 - a.p)) <= 8)"""
 
 
 def rescue_order(spark, d):
@@ -154,13 +156,13 @@ SQL_copy_number_max = "SELECT o_custkey, round(max(o_totalprice / 1000.0), 5) AS
 
 def variant_lines(spark, d):
     """K4: breakend pairs and symbolic alleles as text, made of orders."""
-    o = table(spark, d, "orders").where("o_orderkey < 4000")
+    o = table(spark, d, "orders")
     j = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("ord"), F.lit("chr1").alias("chr"), F.col("o_custkey").alias("pos"), F.when(F.col("o_orderkey") % 2 == 0, "+").otherwise("-").alias("dir_a"), F.lit("chr2").alias("mate_chr"), (F.col("o_custkey") + 5).alias("mate_pos"), F.when(F.col("o_orderkey") % 4 < 2, "+").otherwise("-").alias("dir_b"), (F.col("o_custkey") / 4).alias("cn"))
     i = o.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("ord"), F.when(F.col("o_orderkey") % 2 == 0, "front_jump").otherwise("back_jump").alias("event_type"), F.lit("chr1").alias("chr"), F.col("o_custkey").alias("st"), (F.col("o_custkey") + 7).alias("nd"), F.lit(1.5).alias("cn"))
     return E.vcf_lines(j, i, "e")
 
 
-SQL_variant_lines = r"""WITH o AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS a, CASE WHEN o_orderkey % 4 < 2 THEN '+' ELSE '-' END AS b, printf('%.2f', o_custkey / 4) AS cn FROM orders WHERE o_orderkey < 4000),
+SQL_variant_lines = r"""WITH o AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS a, CASE WHEN o_orderkey % 4 < 2 THEN '+' ELSE '-' END AS b, printf('%.2f', o_custkey / 4) AS cn FROM orders),
 m AS (SELECT *, CASE WHEN b = '+' THEN '[' ELSE ']' END AS k1, CASE WHEN a = '+' THEN ']' ELSE '[' END AS k2 FROM o WHERE o_orderstatus = 'F')
 SELECT o_orderkey AS ord, 1 AS k, concat_ws(chr(9), 'chr1', o_custkey, 'e.' || o_orderkey || '.1', 'N', CASE WHEN a = '+' THEN 'N' ELSE '' END || k1 || 'chr2:' || (o_custkey + 5) || k1 || CASE WHEN a = '+' THEN '' ELSE 'N' END, '.', 'PASS', 'SVTYPE=BND;MATEID=e.' || o_orderkey || '.2;STRANDS=' || a || CASE WHEN b = '+' THEN '-' ELSE '+' END || ';CN=' || cn) AS line FROM m
 UNION ALL SELECT o_orderkey, 2, concat_ws(chr(9), 'chr2', o_custkey + 5, 'e.' || o_orderkey || '.2', 'N', CASE WHEN b = '-' THEN 'N' ELSE '' END || k2 || 'chr1:' || o_custkey || k2 || CASE WHEN b = '-' THEN '' ELSE 'N' END, '.', 'PASS', 'SVTYPE=BND;MATEID=e.' || o_orderkey || '.1;STRANDS=' || CASE WHEN b = '+' THEN '-' ELSE '+' END || a || ';CN=' || cn) FROM m
@@ -196,14 +198,14 @@ SQL_flag_parse = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN true WHEN 1 T
 
 
 def prior_scales(spark, d):
-    """Scales of the prior of normal columns: vector components as columns, the first three as base."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("bin"), F.posexplode(F.slice("embedding", 1, 6)).alias("col", "value")).withColumn("value", F.col("value").cast("double"))
-    cols = spark.createDataFrame([(k, k < 3) for k in range(6)], "col int, is_base boolean")
+    """Scales of the prior of normal columns: vector components as columns, those under 32 as base."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("bin"), F.posexplode("embedding").alias("col", "value")).withColumn("value", F.col("value").cast("double"))
+    cols = e.select("col").distinct().select("col", (F.col("col") < 32).alias("is_base"))
     return M.prior_rows(e, cols, 500, 0.01).select("col", F.round("scale", 6).alias("scale"))
 
 
-SQL_prior_scales = """WITH e AS (SELECT unnest(generate_series(0, 5)) AS col, embedding FROM embeddings), s AS (SELECT col, sum(pow(CAST(embedding[col + 1] AS DOUBLE), 2)) AS sq FROM e GROUP BY 1)
-SELECT CAST(col AS INT) AS col, round(sqrt(0.01 * 500 / (SELECT sum(sq) FROM s WHERE col < 3) * sq), 6) AS scale FROM s"""
+SQL_prior_scales = """WITH e AS (SELECT unnest(generate_series(0, len(embedding) - 1)) AS col, embedding FROM embeddings), s AS (SELECT col, sum(pow(CAST(embedding[col + 1] AS DOUBLE), 2)) AS sq FROM e GROUP BY 1)
+SELECT CAST(col AS INT) AS col, round(sqrt(0.01 * 500 / (SELECT sum(sq) FROM s WHERE col < 32) * sq), 6) AS scale FROM s"""
 
 
 def fit_failure_ratio(spark, d):
