@@ -523,12 +523,12 @@ def stage_report(spark, d):
     ev = table(spark, d, "part").select(F.col("p_partkey").alias("event"), "p_size", "p_retailprice")
     w = ev.select("event", F.col("p_size").cast("double").alias("weight"))
     r = ev.where("p_size < 10").select("event", F.lit("SMALL").alias("reason"))
-    rep = E.stage_report(ev.select("event"), {"base": (w, r), "filter": (w, r.where("event % 2 = 0")), "cluster": None}, 4.0)
+    rep = E.stage_report(ev.select("event"), {"base": (w, r), "filter": (w, ev.where("p_size < 10 and p_retailprice > 950").select("event", F.lit("SMALL").alias("reason"))), "cluster": None}, 4.0)
     return rep
 
 
 SQL_stage_report = """SELECT p_partkey AS event, CASE WHEN p_size < 10 THEN '-1' ELSE printf('%.2f', p_size / 4.0) END AS cn_base, CASE WHEN p_size < 10 THEN 'SMALL' ELSE 'PASS' END AS reason_base,
-CASE WHEN p_size < 10 AND p_partkey % 2 = 0 THEN '-1' ELSE printf('%.2f', p_size / 4.0) END AS cn_filter, CASE WHEN p_size < 10 AND p_partkey % 2 = 0 THEN 'SMALL' ELSE 'PASS' END AS reason_filter, 'NA' AS cn_cluster, 'NA' AS reason_cluster FROM part"""
+CASE WHEN p_size < 10 AND p_retailprice > 950 THEN '-1' ELSE printf('%.2f', p_size / 4.0) END AS cn_filter, CASE WHEN p_size < 10 AND p_retailprice > 950 THEN 'SMALL' ELSE 'PASS' END AS reason_filter, 'NA' AS cn_cluster, 'NA' AS reason_cluster FROM part"""
 
 
 def nnls_fit(spark, d):
