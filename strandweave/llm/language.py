@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
