@@ -112,7 +112,7 @@ def duplicate_classes(
     k: int = 5,
     percent: int = 80,
     half: int = 8,
-    width: int = 3,
+    width: int = 2,
     block: int = 120_000,
 ) -> DataFrame:
     """id, n_shingles, component_id, kept of every row of docs.
