@@ -3,6 +3,7 @@ import random
 import re
 import struct
 import zlib
+from re import _parser as sre
 
 import numpy as np
 import pyarrow as pa
@@ -491,6 +492,40 @@ def test_licenses(spark, odd, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def language_of(parsed):
+    """Strings that a parsed pattern matches: every alternative, the ends of ranges and of repeats."""
+    out = [""]
+    for op, arg in parsed:
+        if op is sre.LITERAL:
+            more = [chr(arg)]
+        elif op is sre.IN:
+            more = [chr(c) for kind, x in arg for c in (x if kind is sre.RANGE else (x,))]
+        elif op is sre.BRANCH:
+            more = [t for alternative in arg[1] for t in language_of(alternative)]
+        elif op is sre.SUBPATTERN:
+            more = language_of(arg[-1])
+        else:
+            assert op is sre.MAX_REPEAT
+            more = [t * n for n in {arg[0], arg[1]} for t in (language_of(arg[2]) if n else [""])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+@pytest.mark.parametrize("rule", license_scan.rules(), ids=lambda r: f"{r.priority}-{r.label}")
+def test_prefilter_keeps_what_a_rule_matches(rule):
+    for text in set(language_of(sre.parse(rule.pattern))):
+        assert rule.keyword in text and any(g in text for g in license_scan.GATE), text
+
+
+def test_licenses_without_the_name_of_their_family(spark):
+    texts = {
+        "available as Creative Commons Attribution-ShareAlike 4.0": "cc-by-sa", "as Creative Commons Attribution NonCommercial 4.0": "cc-by-nc",
+        "released under the Expat License": "mit", "under the X11 license": "mit", "the Internet Systems Consortium license": "isc", "under the PSF License": "python-2",
+    }
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == dict(enumerate(texts.values()))
+
+
 def test_licenses_of_the_table(spark, sf_dir, docs):
     got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in queries.op6_license_scan(spark, sf_dir).collect()}
     assert got == {r.doc_id: brute_base(r.text) for r in docs.collect()}
