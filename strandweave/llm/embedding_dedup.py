@@ -4,7 +4,10 @@ Vectors are compared within one label. A rotation learned on a bounded sample ma
 the vectors; disjoint substrings of the code key hash tables, and vectors that share a key of any table are
 compared by cosine in double precision. Equal vectors are one class from the start, so copies are never
 compared with each other. Substring width follows the number of classes of the largest label, and the number
-of tables follows from the width, so that a pair at the threshold shares a key with probability `recall`.
+of tables follows from the width, so that a pair at the threshold shares a key with probability `recall`. Codes
+are of vectors less their label's mean, which widens the angle of a pair: the number of tables is that of the
+widened angle, by the norms of the centred sample. A label that crowds so closely around its mean that this takes
+more than `WIDEST` times the tables isn't centred.
 
 Pairs are not rows: each group of a table yields, for each vector, how many links it found (a link counts in
 the first table whose key the two share) and one edge to the smallest vector it reaches within the group. A
@@ -42,11 +45,19 @@ def fit_itq(x: np.ndarray, rotations: int, seed: int = 7, rounds: int = 30) -> n
     return np.array(out)
 
 
+#: Times the tables of uncentred vectors that centring may take.
+WIDEST = 8
+
+
 class Codes:
-    """Model of the codes: centres by label, rotations by dimension, and the shape of the tables."""
+    """Model of the codes: centres by label, rotations by dimension, and the shape of the tables.
 
-    def __init__(self, sample: list[tuple], width: int, tables: int):
+    tables is the number that uncentred vectors need; labels that are centred may raise it.
+    """
+
+    def __init__(self, sample: list[tuple], width: int, tables: int, threshold: float, recall: float):
         self.width, self.tables = width, tables
+        units: dict[int, np.ndarray] = {}
         by_dim: dict[int, list] = {}
         for label, v in sample:
             by_dim.setdefault(len(v), []).append((label, v))
@@ -58,9 +69,15 @@ class Codes:
             for label in set(labels.tolist()):
                 own = labels == label
                 if own.sum() >= 50:
-                    self.centre[label, d] = x[own].mean(0)
-                    x[own] -= self.centre[label, d]
-            self.rotation[d] = fit_itq(x, math.ceil(width * tables / d))
+                    centre = x[own].mean(0)
+                    need = tables_of_centred(np.linalg.norm(x[own] - centre, axis=1), width, threshold, recall, WIDEST * tables)
+                    if need is not None:
+                        self.tables = max(self.tables, need)
+                        self.centre[label, d] = centre
+                        x[own] -= centre
+            units[d] = x
+        for d, x in units.items():
+            self.rotation[d] = fit_itq(x, math.ceil(width * self.tables / d))
 
     def keys(self, label: int, unit: np.ndarray) -> np.ndarray:
         """One integer for each vector and table. A dimension that the sample lacks gets random rotations."""
@@ -79,6 +96,27 @@ def shape_of_tables(n: int, threshold: float, recall: float, bucket: int = 16) -
     return width, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
 
+def tables_of_centred(norms: np.ndarray, width: int, threshold: float, recall: float, most: int) -> int | None:
+    """Tables for pairs at the threshold of unit vectors whose centred norms are given; None if more than `most`.
+
+    The difference of a pair stays what it is, so its angle is widest where both have the smaller one's norm.
+    """
+    half = math.sqrt(max(0.0, (1 - threshold) / 2))
+    angle = 2 * np.arcsin(np.minimum(1.0, half / np.maximum(norms, 1e-12)))
+    same = (1 - angle / math.pi) ** width
+
+    def enough(tables: int) -> bool:
+        return bool(np.mean((1 - same) ** tables) <= 1 - recall)
+
+    if not enough(most):
+        return None
+    low, high = 0, most
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if enough(mid) else (mid, high)
+    return high
+
+
 def _group_links(t: int, ids, weight, x, codes, side, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions with links in a group, what the links add to n_links, and the position of the local root.
 
@@ -135,7 +173,9 @@ def near_duplicate_vectors(
     counts = classes.groupBy("_label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     width, tables = shape_of_tables(counts, threshold, recall)
     sample = classes.orderBy(F.xxhash64("_rep"), "_rep").limit(sample_rows).select("_label", "_v").collect()
-    model = spark.sparkContext.broadcast(Codes([(r[0], r[1]) for r in sample], width, tables))
+    codes = Codes([(r[0], r[1]) for r in sample], width, tables, threshold, recall)
+    tables = codes.tables
+    model = spark.sparkContext.broadcast(codes)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import struct
@@ -285,6 +286,24 @@ def test_vectors(spark):
     assert embedding_dedup.near_duplicate_vectors(d.limit(0)).count() == 0
 
 
+def test_pairs_of_a_label_that_crowds_around_its_mean_are_found(spark):
+    rng = np.random.default_rng(5)
+    for norm in (0.9, 0.97):
+        g = rng.normal(size=(3000, 64))
+        g[:, 0] = 0
+        u = math.sqrt(1 - norm**2) * g / np.linalg.norm(g, axis=1)[:, None]
+        u[:, 0] = norm
+        w = rng.normal(size=u.shape)
+        w -= (w * u).sum(1)[:, None] * u
+        v = 0.981 * u + math.sqrt(1 - 0.981**2) * w / np.linalg.norm(w, axis=1)[:, None]
+        x = np.concatenate([u, v])
+        d = spark.createDataFrame([(i, y, 0) for i, y in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+        found = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(d).collect()}
+        links = (x @ x.T >= 0.98).sum(1) - 1
+        missed = (links.sum() - sum(found.values())) / links.sum()
+        assert links.sum() >= 6000 and 0 <= missed <= 0.0015
+
+
 def test_vector_table_recall(spark, sf_dir):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     n, comp = brute_vectors(rows)
