@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "select", "math", "object", "audio", "video", "canvas")
+_RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "select", "object", "audio", "video", "canvas")
+#: An empty element of its own: the last slash isn't part of an unquoted value.
+_CLOSED_SVG = r"""<svg(?=[\s/])(?:=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)|/(?!>)|[^>=/])*+/>"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(_RAW) + r""")\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)"""
+    r"<!--.*?(?:-->|\Z)|" + _CLOSED_SVG + "|<(" + "|".join(_RAW) + r""")\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)"""
     r"""|<[!?](?:[^>])*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""",
     re.S | re.I,
 )

@@ -474,6 +474,17 @@ def test_pages(spark, sf_dir):
         assert r.text == "\n".join(p for p in parts if p)
 
 
+def test_empty_svg_and_math_lose_no_text():
+    want = "Title here\nThis is a long & good paragraph, with words. It goes on, yes.\nShort one."
+    for icon in ("<svg class='i'/>", "<svg/>", '<SVG a="x>y=z"  />', "<svg data-x=/a/b />", "<math/>", "<math display='block'/>"):
+        assert html_extract.extract(PAGE.replace("Site", icon + "Site")) == want
+        assert html_extract.extract(PAGE.replace("long", icon + "long").replace("Home", "<svg><text>no</text></svg>Home")) == want
+    for drawn in ("<svg class='i'><path d=''/><text>no</text></svg>", "<svg class=i/><text>no</text></svg>"):
+        assert html_extract.extract(PAGE.replace("long", drawn + "long")) == want
+    for formula in ("<math><mi>E</mi><mo>=</mo><mn>1</mn></math>", "<math display=block><mi>E</mi>=<mn>1</mn></math>"):
+        assert html_extract.extract(PAGE.replace("good", formula)) == want.replace("good", "E=1")
+
+
 def test_long_chains_of_blocks_end():
     page = "".join(f"<div><p>{'word ' * (i % 7)}</p></div>" for i in range(4000))
     html_extract.extract(page)
