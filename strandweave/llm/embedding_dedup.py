@@ -10,9 +10,9 @@ widened angle, by the norms of the centred sample. A label that crowds so closel
 more than `WIDEST` times the tables isn't centred.
 
 Pairs are not rows: each group of a table yields, for each vector, how many links it found (a link counts in
-the first table whose key the two share) and one edge to the smallest vector it reaches within the group. A
+the first table whose key the two share) and one edge to the first vector it reaches within the group. A
 key with more than `block` vectors is cut into blocks, and each pair of blocks is a group of its own, so no
-task gathers a whole hot key and no pair is lost.
+task gathers a whole hot key and no pair is lost. Hot keys meet their sizes by broadcast, without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.components import connected_components, local_roots
+from strandweave.llm.components import connected_components, join_counted, local_roots, smallest_names
 from strandweave.runtime import cut
 
 
@@ -49,26 +49,31 @@ def fit_itq(x: np.ndarray, rotations: int, seed: int = 7, rounds: int = 30) -> n
 WIDEST = 8
 
 
+#: Vectors of a label and dimension that a sample must hold for their mean to be taken off.
+LEAST_CENTRED = 50
+
+
 class Codes:
     """Model of the codes: centres by label, rotations by dimension, and the shape of the tables.
 
-    tables is the number that uncentred vectors need; labels that are centred may raise it.
+    tables is the number that uncentred vectors need; labels that are centred may raise it. Each dimension has its own
+    rotation; one with fewer sampled vectors than components gets random ones, whose codes are as valid.
     """
 
-    def __init__(self, sample: list[tuple], width: int, tables: int, threshold: float, recall: float):
+    def __init__(self, names: np.ndarray, vectors: pa.ListArray, width: int, tables: int, threshold: float, recall: float):
         self.width, self.tables = width, tables
         units: dict[int, np.ndarray] = {}
-        by_dim: dict[int, list] = {}
-        for label, v in sample:
-            by_dim.setdefault(len(v), []).append((label, v))
+        offs, flat = vectors.offsets.to_numpy(), np.asarray(vectors.values.to_numpy(zero_copy_only=False), float)
+        dims = np.diff(offs)
         self.rotation, self.centre = {}, {}
-        for d, rows in sorted(by_dim.items(), key=lambda kv: -len(kv[1]))[:4]:
-            x = np.array([v for _, v in rows], float)
+        for d in np.unique(dims).tolist():
+            at = np.flatnonzero(dims == d)
+            x = flat[offs[:-1][at][:, None] + np.arange(d)]
             x /= np.linalg.norm(x, axis=1)[:, None]
-            labels = np.array([label for label, _ in rows])
+            labels = names[at]
             for label in set(labels.tolist()):
                 own = labels == label
-                if own.sum() >= 50:
+                if own.sum() >= LEAST_CENTRED:
                     centre = x[own].mean(0)
                     need = tables_of_centred(np.linalg.norm(x[own] - centre, axis=1), width, threshold, recall, WIDEST * tables)
                     if need is not None:
@@ -157,8 +162,9 @@ def near_duplicate_vectors(
 
     A label or vector that is null, a vector of no length, with null or non-finite components or of norm 0 links
     with nothing; such rows and rows without links are components of their own. Vectors of different dimension
-    never link. Rows that repeat an id count as rows of their own. A null id gives null component_id, kept true.
-    An empty table gives an empty result. Other columns of df are not looked at.
+    never link. Rows that repeat an id are rows of their own, each with the links of its own vector; component_id is
+    the smallest id of a component's rows. A null id gives null component_id, kept true. An empty table gives an empty
+    result. Other columns of df are not looked at.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("_label"), F.col(vector_col).cast("array<double>").alias("_v"))
@@ -166,14 +172,14 @@ def near_duplicate_vectors(
     good = F.col("_label").isNotNull() & F.col("vec_id").isNotNull() & (norm > 0) & (norm < float("inf"))
     rows = rows.withColumn("_ok", F.coalesce(good, F.lit(False)))
     keyed = rows.where("_ok").select("vec_id", "_label", F.xxhash64(F.lit(1), "_v").alias("_h1"), F.xxhash64(F.lit(2), "_v").alias("_h2"), "_v")
-    classes = cut(
-        keyed.groupBy("_label", "_h1", "_h2").agg(F.min("vec_id").alias("_rep"), F.count("*").alias("_n"), F.first("_v").alias("_v")),
-        "classes",
-    )
-    counts = classes.groupBy("_label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    width, tables = shape_of_tables(counts, threshold, recall)
-    sample = classes.orderBy(F.xxhash64("_rep"), "_rep").limit(sample_rows).select("_label", "_v").collect()
-    codes = Codes([(r[0], r[1]) for r in sample], width, tables, threshold, recall)
+    # equal vectors of a label are one class, with a number of its own
+    classes = keyed.groupBy("_label", "_h1", "_h2").agg(F.min("vec_id").alias("_name"), F.count("*").alias("_n"), F.first("_v").alias("_v"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("_rep"), "_label", "_h1", "_h2", "_name", "_n", "_v"), "classes")
+    most, total = classes.groupBy("_label").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    width, tables = shape_of_tables(most or 0, threshold, recall)
+    sample = classes.orderBy(F.xxhash64("_name", "_h1"), "_name", "_h1").limit(sample_rows).select("_label", "_v").toArrow().combine_chunks()
+    vectors = sample.column("_v").combine_chunks() if len(sample) else pa.array([], pa.list_(pa.float64()))
+    codes = Codes(sample.column("_label").to_numpy(), vectors, width, tables, threshold, recall)
     tables = codes.tables
     model = spark.sparkContext.broadcast(codes)
 
@@ -198,12 +204,12 @@ def near_duplicate_vectors(
             )
 
     label_type = classes.schema["_label"].dataType.simpleString()
-    coded = classes.mapInArrow(code, f"_label {label_type}, _rep long, _n long, _v array<double>, _codes array<long>")
+    coded = classes.select("_label", "_rep", "_n", "_v").mapInArrow(code, f"_label {label_type}, _rep long, _n long, _v array<double>, _codes array<long>")
     coded = cut(coded, "codes")
     spread = coded.select("_label", F.size("_v").alias("_dim"), "_rep", "_n", "_v", "_codes", F.posexplode("_codes").alias("_t", "_key"))
     bucket = ["_label", "_dim", "_t", "_key"]
-    sizes = spread.groupBy(*bucket).agg(F.count("*").alias("_size")).where("_size > 1")
-    grouped = spread.join(sizes, bucket).withColumn("_blocks", F.ceil(F.col("_size") / block).cast("int"))
+    sizes = cut(spread.groupBy(*bucket).agg(F.count("*").alias("_size")).where("_size > 1"), "sizes")
+    grouped = join_counted(spread, sizes, bucket, "_size", (total or 0) * tables).withColumn("_blocks", F.ceil(F.col("_size") / block).cast("int"))
     own = F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int")
     pair = F.when(F.col("_blocks") == 1, F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side")))).otherwise(
         F.transform(
@@ -262,15 +268,14 @@ def near_duplicate_vectors(
             yield from run(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     links = cut(grouped.mapInArrow(link, "_rep long, _add long, _root long"), "links")
-    of_class = (
-        classes.select("_label", "_h1", "_h2", "_rep", "_n")
-        .join(links.groupBy("_rep").agg(F.sum("_add").alias("_add")), "_rep", "left")
-        .join(connected_components(links, "_rep", "_root").withColumnRenamed("id", "_rep"), "_rep", "left")
-    )
+    names = classes.select(F.col("_rep").alias("id"), F.col("_name").cast("long").alias("name"))
+    of = smallest_names(cut(connected_components(links, "_rep", "_root"), "tied"), names).select(F.col("id").alias("_rep"), "component_id")
+    of_class = classes.select("_label", "_h1", "_h2", "_rep", "_name", "_n").join(links.groupBy("_rep").agg(F.sum("_add").alias("_add")), "_rep", "left").join(of, "_rep", "left")
     of_class = of_class.select(
-        "_label", "_h1", "_h2", (F.coalesce("_add", F.lit(0)) + F.col("_n") - 1).alias("n_links"), F.coalesce("component", "_rep").alias("component_id")
+        "_label", "_h1", "_h2", "_n", (F.coalesce("_add", F.lit(0)) + F.col("_n") - 1).alias("n_links"), F.coalesce("component_id", F.col("_name").cast("long")).alias("component_id")
     )
-    linked = keyed.drop("_v").join(of_class, ["_label", "_h1", "_h2"]).select("vec_id", "n_links", "component_id")
+    of_class = cut(of_class, "named")
+    linked = join_counted(keyed.drop("_v"), of_class, ["_label", "_h1", "_h2"], "_n", of_class.agg(F.sum("_n")).first()[0] or 0).select("vec_id", "n_links", "component_id")
     alone = rows.where("not _ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select(F.col("vec_id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -2,14 +2,19 @@
 
 Two collections of `half` short keys each are made from few minhashes (half keys of `width` minhashes); a table
 key combines one half key of each collection, so that 2 * half * width minhashes give half * half tables of
-2 * width minhashes. Texts with equal shingle sets are one class from the start.
-
-Texts that share a table key are candidates. The pairs of a bucket are never listed: each member is tied to the
-smallest one, and the connected components of these ties are the candidate groups, so that both texts of every
-candidate pair stand in one group. All pairs of a group are then compared, on the words of the whole texts, by
-posting lists that add up every intersection. A group of more than `block` shingles is cut into blocks of similar set
-size, and each pair of blocks whose sizes can reach the threshold is a group of its own: no task gathers a whole
-hot group, and no pair that could be linked is left out. Blocks yield one edge per linked text, not their pairs.
+2 * width minhashes. Texts with equal shingle sets are one class from the start, and all that follows is about classes.
+
+Classes that share a table key, a bucket, are candidates, and only verified links tie buckets together:
+
+1. Each bucket's members are compared with its first one. A pair that several buckets name is compared once.
+2. Buckets whose other members the links found so far leave in more than one component have all pairs of these
+   compared; buckets of equal members are one.
+
+Comparisons are on the words of the whole texts, by posting lists that add up every intersection. A group of more than
+`block` shingles is cut: the first step compares its first member with each block, the second cuts by set size and hash,
+and each pair of blocks whose sizes can reach the threshold is a group of its own. So no task gathers a hot bucket, no
+candidate pair is left out unless links tie it already, and nothing grows with the square of a component. Blocks yield
+one edge per linked text, not their pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm import bytekit as bk
-from strandweave.llm.components import connected_components, local_roots
+from strandweave.llm.components import connected_components, join_counted, local_roots, smallest_names
 from strandweave.runtime import by_ids, cut
 
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,81 +110,47 @@ def linked_within(ids: np.ndarray, sets: list[set], side: np.ndarray, num: int,
     return list(zip(ids[own].tolist(), ids[root[own]].tolist(), strict=True))
 
 
-def duplicate_classes(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    k: int = 5,
-    percent: int = 80,
-    half: int = 8,
-    width: int = 2,
-    block: int = 120_000,
-) -> DataFrame:
-    """id, n_shingles, component_id, kept of every row of docs.
+def _placed_by_size(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """(c, _g, _side) of groups whose pairs together are all pairs of members (key, c, n, s) of one key that sizes allow.
 
-    Words are runs of non-white-space, A-Z lower-cased; two rows are linked when 100 * intersection >= percent *
-    union of their sets of distinct k-word shingles. component_id is the smallest id that links reach. Text that is
-    null or without words is linked with nothing. Rows that repeat an id are one document with the largest of their
-    texts, and each gets its result. A row of null id is linked with nothing: its component_id is null, kept true.
-    An empty table gives an empty result; other columns are not looked at.
+    s: shingles of the key. Keys of at most `block` are one group; others are cut by set size, in steps within which
+    sizes can reach the threshold, and each step by hash.
     """
-    n_keys = 2 * half
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size, digest, keys = signatures(b.column("text"), k, half, width)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("id"), pa.array(size.astype(np.int64)), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)),
-                    pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), n_keys).cast(pa.list_(pa.int64())),
-                ],
-                ["id", "n", "d1", "d2", "keys"],
-            )
-
-    all_rows = rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    repeats = _repeats(rows)
-    if repeats:
-        one = rows.where("id is not null").groupBy("id").agg(F.max("text").alias("text"))
-        rows = cut(one.unionByName(rows.where("id is null")), "documents")
-    signed = cut(rows.mapInArrow(sign, "id long, n long, d1 long, d2 long, keys array<long>"), "signatures")
-    full = signed.where("n > 0 and id is not null")
-    # equal sets are one class, and their keys are equal as well
-    classes = cut(full.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys")), "classes")
-    table_keys = F.explode(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(half)),
-                lambda i: F.transform(F.sequence(F.lit(1), F.lit(half)), lambda j: F.xxhash64(i, j, F.element_at("keys", i), F.element_at("keys", j + half))),
-            )
-        )
-    )
-    entries = classes.select(F.col("rep").alias("id"), "n", table_keys.alias("key"))
-    shared = entries.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1").select("key", "pivot")
-    ties = entries.join(shared, "key").where("id <> pivot").select("pivot", "id").distinct()
-    groups = cut(connected_components(ties, "pivot", "id").select("id", F.col("component").alias("g")), "groups")
-    sized = groups.join(classes.select(F.col("rep").alias("id"), "n"), "id")
-    sized = sized.join(sized.groupBy("g").agg(F.sum("n").alias("s")), "g")
-    # small groups are one block; large ones are cut by set size, in steps within which sizes can reach the threshold
-    band = F.when(F.col("s") > block, F.floor(F.log("n") / F.log(F.lit(100 / percent)))).otherwise(0).cast("int")
-    sized = cut(sized.withColumn("band", band), "sized")
-    bands = sized.where(F.col("s") > block).groupBy("g", "band").agg(F.ceil(F.sum("n") / block).cast("int").alias("nb"))
-    around = bands.select("g", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.struct("band", "nb").alias("other"))
-    around = around.groupBy("g", "band").agg(F.collect_list("other").alias("near"))  # at most three bands
-    placed = sized.join(around, ["g", "band"], "left").join(bands, ["g", "band"], "left")
-    own = F.struct(F.col("band").alias("b"), F.pmod(F.xxhash64("id"), F.coalesce("nb", F.lit(1))).cast("int").alias("k"))
+    small = members.where(F.col("s") <= block).select("c", F.xxhash64("key").alias("_g"), F.lit(0).alias("_side"))
+    large = members.where(F.col("s") > block).withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
+    large = cut(large.select("key", "c", "n", "band"), "large")
+    total = large.count()
+    if not total:
+        return small
+    bands = cut(large.groupBy("key", "band").agg(F.ceil(F.sum("n") / block).cast("int").alias("nb"), F.count("*").alias("_n")), "bands")
+    around = bands.select("key", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.struct("band", "nb").alias("other"))
+    around = around.groupBy("key", "band").agg(F.collect_list("other").alias("near"))  # at most three bands
+    around = cut(around.join(bands, ["key", "band"]), "around")
+    own = F.struct(F.col("band").alias("b"), F.pmod(F.xxhash64("c"), F.col("nb")).cast("int").alias("k"))
     others = F.flatten(F.transform("near", lambda o: F.transform(F.sequence(F.lit(0), o["nb"] - 1), lambda k: F.struct(o["band"].alias("b"), k.cast("int").alias("k")))))
     pairs = F.transform(others, lambda o: F.struct(F.least(o, own).alias("lo"), F.greatest(o, own).alias("hi"), F.when(o == own, 0).when(own < o, 1).otherwise(2).alias("side")))
-    alone_pair = F.array(F.struct(own.alias("lo"), own.alias("hi"), F.lit(0).alias("side")))
-    placed = placed.withColumn("_p", F.explode(F.coalesce(pairs, alone_pair)))
-    placed = placed.select("id", F.xxhash64("g", "_p.lo.b", "_p.lo.k", "_p.hi.b", "_p.hi.k").alias("_g"), F.col("_p.side").alias("_side"))
-    texts = by_ids(rows, groups.select("id"), "id", "left_semi")
-    work = placed.join(texts, "id").repartition("_g").sortWithinPartitions("_g")
+    placed = join_counted(large, around, ["key", "band"], "_n", total).select("key", "c", F.explode(pairs).alias("_p"))
+    return small.unionByName(placed.select("c", F.xxhash64("key", "_p.lo.b", "_p.lo.k", "_p.hi.b", "_p.hi.k").alias("_g"), F.col("_p.side").alias("_side")))
+
+
+def _placed_by_first(ties: DataFrame, block: int) -> DataFrame:
+    """(c, _g, _side) of groups of one pivot (side 1) and a block of those tied to it (side 2); ties: pivot, c, pn, n."""
+    pivots = cut(ties.groupBy("pivot").agg(F.ceil(F.sum("n") / block).cast("int").alias("nb"), F.count("*").alias("_n")), "pivots")
+    tied = join_counted(ties, pivots, ["pivot"], "_n", ties.count())
+    tied = tied.select("c", F.xxhash64("pivot", F.pmod(F.xxhash64("c"), F.col("nb"))).alias("_g"), F.lit(2).alias("_side"))
+    first = pivots.select(F.col("pivot").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), (F.col("nb") - 1).cast("long"))).alias("_b"), F.col("pivot"))
+    return tied.unionByName(first.select("c", F.xxhash64("pivot", "_b").alias("_g"), F.lit(1).alias("_side")))
+
+
+def _links(placed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Edges (a, b) of classes that reach the threshold, found within each group of placed (c, _g, _side)."""
+    work = placed.join(texts, "c").repartition("_g").sortWithinPartitions("_g")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets, side = None, [], [], []
         done: list[tuple[int, int]] = []
         for b in batches:
-            for g, i, text, s in zip(b.column("_g").to_pylist(), b.column("id").to_pylist(), b.column("text"), b.column("_side").to_pylist(), strict=True):
+            for g, i, text, s in zip(b.column("_g").to_pylist(), b.column("c").to_pylist(), b.column("text"), b.column("_side").to_pylist(), strict=True):
                 if g != now:
                     done += linked_within(np.array(ids, np.int64), sets, np.array(side), percent, 100)
                     now, ids, sets, side = g, [], [], []
@@ -190,33 +161,134 @@ def duplicate_classes(
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())], ["a", "b"])
 
-    links = cut(work.mapInArrow(compare, "a long, b long"), "links")
-    of = connected_components(links)
-    named = classes.select("n", "d1", "d2", "rep").join(of.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    linked = full.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"]).select("id", "n", "component_id")
-    alone = signed.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
+    return cut(work.mapInArrow(compare, "a long, b long"), "links")
+
+
+def _class_links(classes: DataFrame, rows: DataFrame, k: int, percent: int, half: int, block: int) -> DataFrame:
+    """(id, component) of the classes that links tie to others; rows: id, _th, text."""
+    table_keys = F.explode(
+        F.flatten(
+            F.transform(
+                F.sequence(F.lit(1), F.lit(half)),
+                lambda i: F.transform(F.sequence(F.lit(1), F.lit(half)), lambda j: F.xxhash64(i, j, F.element_at("keys", i), F.element_at("keys", j + half))),
+            )
+        )
+    )
+    entries = classes.select("c", "n", table_keys.alias("key"))
+    total = classes.count() * half * half
+    shared = entries.groupBy("key").agg(F.min("c").alias("pivot"), F.min_by("n", "c").alias("pn"), F.count("*").alias("size")).where("size > 1")
+    shared = cut(shared, "shared")
+    members = cut(join_counted(entries, shared, ["key"], "size", total).where("c <> pivot").select("key", "c", "n", "pivot", "pn", "size"), "members")
+    reach = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+    ties = cut(members.where(reach).select("pivot", "c", "pn", "n").distinct(), "ties")
+    wanted = members.select("c").unionByName(shared.select(F.col("pivot").alias("c"))).distinct()
+    wanted = cut(classes.join(wanted, "c").select("c", "id", "_th"), "wanted")
+    texts = by_ids(rows, wanted, ["id", "_th"], "inner").groupBy("c").agg(F.first("text").alias("text"))  # rows may repeat
+    texts = cut(texts, "texts")
+    found = cut(connected_components(_links(_placed_by_first(ties, block), texts, k, percent)), "tied")
+    # what is left: buckets with members, besides the first one, in more than one component
+    rest = members.where("size > 2").join(found.select(F.col("id").alias("c"), "component"), "c", "left").withColumn("_root", F.coalesce("component", "c"))
+    rest = cut(rest.select("key", "c", "n", "_root"), "rest")
+    mixed = rest.groupBy("key").agg(
+        F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count("*").alias("_n"), F.sum("n").alias("s"),
+        F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(2), "c")).alias("_y"),
+    ).where("_lo <> _hi").groupBy("_x", "_y", "_n", "s").agg(F.min("key").alias("key"))
+    mixed = cut(mixed.select("key", "s", "_n"), "mixed")
+    left = mixed.agg(F.sum("_n")).first()[0]
+    if left:
+        again = join_counted(rest, mixed, ["key"], "_n", left).select("key", "c", "n", "s")
+        more = _links(_placed_by_size(again, percent, block), texts, k, percent)
+        found = cut(connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "tied")
+    return found
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, half: int, width: int, block: int) -> DataFrame:
+    """id, _th (hash of the text), n, root (class that names the component), component_id, kept of every row; written."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be 1 to 100")
+    n_keys = 2 * half
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, digest, keys = signatures(b.column("text"), k, half, width)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("id"), b.column("_th"), pa.array(size.astype(np.int64)), pa.array(digest[:, 0].view(np.int64)), pa.array(digest[:, 1].view(np.int64)),
+                    pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), n_keys).cast(pa.list_(pa.int64())),
+                ],
+                ["id", "_th", "n", "d1", "d2", "keys"],
+            )
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("_th", F.xxhash64("text"))
+    signed = cut(rows.mapInArrow(sign, "id long, _th long, n long, d1 long, d2 long, keys array<long>"), "signatures")
+    full = signed.where("n > 0 and id is not null")
+    # equal sets are one class, and their keys are equal as well; a class is named by a number of its own
+    classes = full.groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "_th")).alias("_at"), F.first("keys").alias("keys"), F.count("*").alias("_m"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("c"), "n", "d1", "d2", "_at.id", "_at._th", "keys", "_m"), "classes")
+    named = classes.select("n", "d1", "d2", "_m", "c", F.col("id").alias("rep"))
+    if percent < 100:  # else equal sets only
+        of = smallest_names(_class_links(classes, rows, k, percent, half, block), classes.select(F.col("c").alias("id"), F.col("id").alias("name")))
+        named = named.join(of.withColumnRenamed("id", "c"), "c", "left")
+        named = named.select("n", "d1", "d2", "_m", F.coalesce("component", "c").alias("root"), F.coalesce("component_id", "rep").alias("component_id"))
+    else:
+        named = named.select("n", "d1", "d2", "_m", F.col("c").alias("root"), F.col("rep").alias("component_id"))
+    named = cut(named, "named")
+    linked = join_counted(full.select("id", "_th", "n", "d1", "d2"), named, ["n", "d1", "d2"], "_m", signed.count())
+    linked = linked.select("id", "_th", "n", "root", "component_id")
+    alone = signed.where("n = 0 or id is null").select("id", "_th", "n", F.lit(None).cast("long").alias("root"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
-    if repeats:
-        out = out.where("id is null").unionByName(out.join(all_rows.where("id is not null").select("id"), "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
-def _repeats(rows: DataFrame) -> bool:
-    return rows.where("id is not null").groupBy("id").count().where("count > 1").limit(1).count() > 0
+def duplicate_classes(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    k: int = 5,
+    percent: int = 80,
+    half: int = 8,
+    width: int = 2,
+    block: int = 120_000,
+) -> DataFrame:
+    """id, n_shingles, component_id, kept of every row of docs.
+
+    Words are runs of non-white-space, A-Z lower-cased; two rows are linked when 100 * intersection >= percent *
+    union of their sets of distinct k-word shingles; percent is 1 to 100, at 100 equal sets are linked. component_id is
+    the smallest id that links reach. Text that is null or without words is linked with nothing. Rows that repeat an id
+    are rows of their own, each with the result of its own text. A row of null id is linked with nothing: its
+    component_id is null, kept true. An empty table gives an empty result; other columns are not looked at.
+    """
+    out = _classified(docs, id_col, text_col, k, percent, half, width, block)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
+def _free(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+
+def keep_one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, half: int = 8, width: int = 2, block: int = 120_000
+) -> DataFrame:
     """The rows of docs, with all their columns, that are the smallest id of their component.
 
-    Rows of null id stay. Of rows that repeat an id one stays, the largest by text and then by the other columns.
+    Rows of null id stay. Rows that repeat an id are judged by their own texts; where several of one component have its
+    smallest id, one stays, the largest by text and then by the other columns. Of rows without words that repeat an id
+    and a text one stays as well.
     """
-    found = duplicate_classes(docs, id_col=id_col, **options)
-    gone = cut(found.where("not kept").select(id_col).distinct(), "gone")
-    out = by_ids(docs, gone, id_col, "left_anti").select(docs.columns)
-    if _repeats(docs.select(F.col(id_col).alias("id"))):
-        rest = [c for c in docs.columns if c not in (id_col, "text")]
-        one = out.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.struct("text", *rest)).alias("_one"))
-        out = one.select(id_col, "_one.*").select(docs.columns).unionByName(out.where(F.col(id_col).isNull()))
-    return out
+    found = cut(_classified(docs, id_col, text_col, k, percent, half, width, block), "found")
+    hashed = _free(docs, "_th")
+    found = found.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("_th").alias(hashed), "root", "kept")
+    out = docs.withColumn(hashed, F.xxhash64(F.col(text_col).cast("string")))
+    gone = cut(found.where("not kept").select(id_col, hashed).distinct(), "gone")
+    out = by_ids(out, gone, [id_col, hashed], "left_anti")
+    group = F.xxhash64(F.col("root").isNull(), F.coalesce("root", hashed)).alias(_free(docs, "_group"))
+    stay = found.where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col, hashed, group)
+    again = cut(stay.groupBy(id_col, stay.columns[-1]).count().where("count > 1").select(id_col).distinct(), "again")
+    if again.limit(1).count():
+        rest = [c for c in docs.columns if c not in (id_col, text_col)]
+        several = by_ids(out, again, id_col, "left_semi").join(by_ids(stay, again, id_col, "left_semi").distinct(), [id_col, hashed])
+        several = several.groupBy(id_col, stay.columns[-1]).agg(F.max(F.struct(text_col, *rest)).alias("_one")).select(id_col, "_one.*")
+        out = by_ids(out, again, id_col, "left_anti").select(docs.columns).unionByName(several.select(docs.columns))
+    return out.select(docs.columns)

@@ -628,3 +628,62 @@ def test_query_equals_sql(name, spark, sf_dir):
     from strandweave.llm.oracle import ORACLE
 
     oc.assert_same(queries.queries()[name](spark, sf_dir), oc.connect(sf_dir), ORACLE[name])
+
+
+def test_rows_that_repeat_an_id_keep_their_own_results(spark):
+    v = [(5, [1.0, 0.0, 0.0], 0), (5, [0.0, 1.0, 0.0], 0), (9, [1.0, 0.01, 0.0], 0), (None, [1.0, 0.0, 0.0], 0)]
+    got = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(v, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in got) == sorted([(5, 1, 5, True), (5, 0, 5, True), (9, 1, 5, False), (-1, 0, None, True)], key=lambda x: x[:2])
+    base = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, base, "a"), (2, "z z1 z2", "b"), (2, base, "c"), (3, "y y1 y2", "d"), (3, "y y1 y2", "e"), (3, "", "f"), (3, "", "g"), (4, "y y1 y2", "h")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _th string")
+    got = minhash_dedup.duplicate_classes(d, k=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted(
+        [(1, 39, 1, True), (2, 2, 2, True), (2, 39, 1, False), (3, 2, 3, True), (3, 2, 3, True), (3, 0, 3, True), (3, 0, 3, True), (4, 2, 3, False)]
+    )
+    kept = minhash_dedup.keep_one_of_each(d, k=2)
+    assert kept.columns == d.columns and sorted(map(tuple, kept.collect())) == [(1, base, "a"), (2, "z z1 z2", "b"), (3, "", "g"), (3, "y y1 y2", "e")]
+
+
+@pytest.mark.parametrize("percent", [1, 50, 99, 100])
+def test_any_percentage(spark, percent):
+    rng = random.Random(percent)
+    rows = [(i, " ".join(f"w{rng.randrange(4)}" for _ in range(rng.randrange(1, 5)))) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: minhash_dedup.shingle_set(t, 1) for i, t in rows}
+    of = components([i for i, _ in rows], [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])])
+    got = {r.doc_id: r.component_id for r in minhash_dedup.duplicate_classes(d, k=1, percent=percent).collect()}
+    assert all(of[i] == of[c] for i, c in got.items())  # no link that isn't one
+    if percent >= 99:
+        assert got == of
+    for bad in (0, 101):
+        with pytest.raises(ValueError):
+            minhash_dedup.duplicate_classes(d, percent=bad)
+
+
+def test_buckets_with_several_components_are_compared_in_full(spark):
+    """Texts that share half their words crowd into buckets; the first one of a bucket isn't linked to the others."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(40)]
+    rows = []
+    for g in range(12):
+        own = [f"g{g}w{k}" for k in range(14)]
+        rows += [(len(rows) + i, " ".join([w for w in common if rng.random() > 0.02] + own)) for i in range(5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, want = brute_duplicates(dict(rows), 1)
+    for block in (120_000, 150):
+        got = {r.doc_id: r.component_id for r in minhash_dedup.duplicate_classes(d, k=1, half=16, width=1, block=block).collect()}
+        assert got == want
+
+
+def test_a_node_of_high_degree_is_not_shuffled(spark, monkeypatch):
+    from strandweave.llm import components as module
+
+    monkeypatch.setattr(module, "LEAST_HOT", 5)
+    e = [(k, 500) for k in range(40)] + [(600, k) for k in range(601, 660)] + [(39, 600), (700, 701)]
+    got = {r.id: r.component for r in module.connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
+    assert got == {i: 0 for i in [*range(40), 500, *range(600, 660)]} | {700: 700, 701: 700}
+    left = spark.createDataFrame([(i % 3 if i < 90 else i, i) for i in range(100)], "k long, x long")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.sum("x").alias("s"))
+    one, two = module.join_counted(left, right, ["k"], "n", 100), left.join(right, "k")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) and one.count() == 100
