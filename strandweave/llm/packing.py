@@ -7,7 +7,12 @@ pattern priced by an unbounded knapsack over the dual prices; pattern counts are
 is placed first-fit by decreasing length. Items are ranked within their bin, ranks are dealt out to the
 pattern slots of that bin in order, and so every piece finds its sequence by arithmetic on its rank.
 
-Only the histogram by input partition reaches the driver. Documents shorter than `size` are never cut.
+Rests that don't fit together are cut: patterns filled to less than `full` aren't used, and the items that they would
+take are laid end to end and cut where a sequence is full. So whatever the lengths, all sequences but one are filled to
+`full`, less what binning rounds up (1 part in 100 of an item at most).
+
+Only the total histogram, a row per bin, reaches the driver. Ranks and positions add up counts of input partitions by
+windows over one row per partition (and bin).
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.llm.tokens import default_tokenizer, encoder
@@ -148,6 +153,9 @@ def _slots(plan: list[tuple[np.ndarray, int]], base: int) -> list[tuple[int, int
     return rows
 
 
+_PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -155,12 +163,14 @@ def pack(
     size: int = 1024,
     tokenizer: str | None = None,
     end_id: int = 0,
+    full: float = 0.994,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null text is empty and still has its end id. Rows that repeat a doc_id are documents of their own; a null
     doc_id stays null. An empty table gives an empty result. Extra columns are not looked at. sequence_id runs
-    from 0 without gaps; offset is gapless in each sequence.
+    from 0 without gaps; offset is gapless in each sequence. full: patterns filled to less than this share are not used,
+    and their items are cut to fit; at 0 no rest is ever cut.
     """
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
@@ -172,6 +182,7 @@ def pack(
         part = TaskContext.get().partitionId()
         enc, end = encoder(path), struct.pack("<I", end_id)
         ranks = np.zeros(len(edges) + 1, np.int64)
+        kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64(), pa.binary()]
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -181,40 +192,52 @@ def pack(
                     piece = ids[4 * a : 4 * (a + size)]
                     k = len(piece) // 4
                     at = len(edges) if k == size else int(np.searchsorted(edges, k))
-                    rows.append((doc, a, k, zlib.crc32(piece), n, part, at, int(ranks[at])))
+                    rows.append((doc, a, k, zlib.crc32(piece), n, part, at, int(ranks[at]), None if k == size else piece))
                     ranks[at] += 1
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_part", "_bin", "_rank"]
-            )
+            cols = list(zip(*rows, strict=True)) or [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*_PIECE, "_part", "_bin", "_rank", "_ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = cut(rows.mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _part int, _bin int, _rank long"), "pieces")
-    counts = made.groupBy("_part", "_bin").count().collect()  # at most bins x input partitions
-    base, total = [], np.zeros(len(edges) + 1, np.int64)
-    for r in sorted(counts, key=lambda r: (r["_bin"], r["_part"])):
-        base.append((r["_part"], r["_bin"], int(total[r["_bin"]])))
-        total[r["_bin"]] += r["count"]
+    shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _part int, _bin int, _rank long, _ids binary"
+    made = cut(rows.mapInArrow(pieces, shape), "pieces")
+    # ranks within a part become ranks of all by the counts of the parts before it
+    before = Window.partitionBy("_bin").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cut(made.groupBy("_part", "_bin").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long"))), "cells")
+    total = np.zeros(len(edges) + 1, np.int64)
+    for r in cells.groupBy("_bin").agg(F.sum("_n").alias("n")).collect():
+        total[r["_bin"]] = r["n"]
     have = np.flatnonzero(total[:-1])
     plan = solve_patterns(edges[have], total[:-1][have], size) if len(have) else []
-    slots = [(int(have[i]), *rest) for i, *rest in _slots(plan, int(total[-1]))]
-    full = len(edges)
-    if total[-1]:
-        slots.append((full, 0, int(total[-1]), 1, 0, 0))
-    first = spark.createDataFrame(base, "_part int, _bin int, _base long")
+    plan = [(p, n) for p, n in plan if (p * edges[have]).sum() >= full * size]
+    whole = int(total[-1])
+    slots = [(int(have[i]), *rest) for i, *rest in _slots(plan, whole)]
+    if whole:
+        slots.append((len(edges), 0, whole, 1, 0, 0))
+    laid_from = whole + sum(n for _, n in plan)
     deal = spark.createDataFrame(slots, "_bin int, _from long, _to long, _each long, _seq long, _slot long")
-    # both tables are bounded by the bins: histogram cells of the input partitions, and slots of the patterns
-    ranked = made.join(F.broadcast(first), ["_part", "_bin"]).withColumn("_rank", F.col("_rank") + F.col("_base")).drop("_base")
-    by_bin = deal.groupBy("_bin").agg(F.array_sort(F.collect_list(F.struct("_from", "_to", "_each", "_seq", "_slot"))).alias("_deal"))
-    put = ranked.join(F.broadcast(by_bin), "_bin").withColumn("_d", F.expr("filter(_deal, d -> d._from <= _rank and _rank < d._to)[0]"))
+    by_bin = deal.groupBy("_bin").agg(F.array_sort(F.collect_list(F.struct("_from", "_to", "_each", "_seq", "_slot"))).alias("_deal"))  # a row per bin
+    ranked = made.join(cells.drop("_n"), ["_part", "_bin"]).withColumn("_rank", F.col("_rank") + F.col("_base")).drop("_base")
+    put = ranked.join(F.broadcast(by_bin), "_bin", "left").withColumn("_d", F.expr("get(filter(_deal, d -> d._from <= _rank and _rank < d._to), 0)")).drop("_deal")
     k = F.col("_rank") - F.col("_d._from")
-    put = put.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-        (F.col("_d._seq") + F.floor(k / F.col("_d._each"))).alias("sequence_id"),
-        (F.col("_d._slot") + k % F.col("_d._each")).alias("_slot"),
+    dealt = put.where("_d is not null").select(*_PIECE, (F.col("_d._seq") + F.floor(k / F.col("_d._each"))).alias("sequence_id"), (F.col("_d._slot") + k % F.col("_d._each")).alias("_slot"))
+    ahead = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0))).drop("_slot")
+    if int(total[:-1].sum()) == sum(int(p.sum()) * n for p, n in plan):
+        return dealt
+    # the others stand end to end, by part, bin and rank
+    rest = put.where("_d is null").select(*_PIECE, "_part", "_bin", "_rank", "_ids")
+    over = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    parts = rest.groupBy("_part").agg(F.sum("length").alias("_l")).withColumn("_before", F.coalesce(F.sum("_l").over(over), F.lit(0).cast("long"))).drop("_l")
+    along = Window.partitionBy("_part").orderBy("_bin", "_rank").rowsBetween(Window.unboundedPreceding, -1)
+    rest = rest.withColumn("_at", F.coalesce(F.sum("length").over(along), F.lit(0).cast("long"))).join(parts, "_part").withColumn("_at", F.col("_at") + F.col("_before"))
+    first, last = F.floor(F.col("_at") / size), F.floor((F.col("_at") + F.col("length") - 1) / size)
+    rest = rest.withColumn("_s", F.explode(F.sequence(first, last)))
+    a, z = F.greatest(F.col("_at"), F.col("_s") * size), F.least(F.col("_at") + F.col("length"), (F.col("_s") + 1) * size)
+    rest = rest.withColumn("_a", a - F.col("_at")).withColumn("_n", z - a)
+    piece = F.expr("substring(_ids, cast(4 * _a + 1 as int), cast(4 * _n as int))")
+    laid = rest.select(
+        "doc_id", (F.col("start") + F.col("_a")).alias("start"), F.col("_n").alias("length"),
+        F.when(F.col("_n") == F.col("length"), F.col("ids_crc32")).otherwise(F.crc32(piece)).alias("ids_crc32"), "doc_tokens",
+        (F.col("_s") + laid_from).alias("sequence_id"), (F.col("_at") + F.col("_a") - F.col("_s") * size).alias("offset"),
     )
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    return put.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("_slot")
+    return dealt.unionByName(laid)

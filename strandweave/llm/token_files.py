@@ -2,24 +2,24 @@
 
 One file holds documents in ascending order of id:
 
-    frame 0 | frame 1 | ... | seek table (JSON, zstandard) | length of the table, 8 bytes | b"STWVTOK1"
+    frame 0 | frame 1 | ... | seek table (zstandard) | length of the table, 8 bytes | b"STWVTOK2"
 
-A frame holds the little-endian unsigned 32-bit ids of consecutive whole documents, about `frame_ids` of them,
-each document ended by `end_id`. The seek table lists for each frame its offset, compressed and raw length,
-the unsigned crc32 of its raw bytes, and the doc_id and number of ids of each of its documents. A reader
-fetches the footer and then only the frames that hold the requested documents, and checks each frame it opens.
+A frame holds the little-endian unsigned 32-bit ids of consecutive whole documents, each ended by `end_id`, and is closed
+by the document that brings it to `frame_ids` ids; by default each document is a frame of its own. The seek table has
+columns: for each frame its offset, compressed and raw length, the unsigned crc32 of its raw bytes and its number of
+documents; for each document its id (and whether it is null) and its number of ids. A reader fetches the footer and then
+only the frames that hold the requested documents, and checks each frame it opens.
 
-Each task writes its file under another name and renames it when complete; a task that runs again writes the
-same bytes to the same name.
+Each attempt of a task writes a file of its own name; the manifest lists those of the attempts that counted.
 """
 
 from __future__ import annotations
 
 import io
-import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,42 +30,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm.tokens import default_tokenizer, encoder
-from strandweave.runtime import new_folder
+from strandweave.runtime import cut, new_folder
 
-MAGIC = b"STWVTOK1"
+MAGIC = b"STWVTOK2"
+_FRAME_COLUMNS = (("offset", "<u8"), ("packed", "<u8"), ("raw", "<u8"), ("crc32", "<u4"), ("docs", "<u4"))
+_DOC_COLUMNS = (("doc", "<i8"), ("null", "u1"), ("count", "<u8"))
 
 
 class FrameWriter:
     """Writes documents to a binary file object in the order in which they are added."""
 
-    def __init__(self, out, frame_ids: int = 1 << 18, level: int = 3):
-        self.out, self.frame_ids, self.at = out, frame_ids, 0
+    def __init__(self, out, frame_ids: int = 1, level: int = 3):
+        self.out, self.frame_ids, self.at, self.held = out, frame_ids, 0, 0
         self.pack = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
-        self.frames: list[dict] = []
         self.parts: list[bytes] = []
-        self.docs: list[int | None] = []
-        self.counts: list[int] = []
+        self.frames: dict[str, array] = {name: array("Q") for name, _ in _FRAME_COLUMNS}
+        self.docs = {"doc": array("q"), "null": array("B"), "count": array("Q")}
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.parts.append(ids)
-        self.docs.append(doc_id)
-        self.counts.append(len(ids) // 4)
-        if sum(self.counts) >= self.frame_ids:
+        for name, x in (("doc", doc_id or 0), ("null", doc_id is None), ("count", len(ids) // 4)):
+            self.docs[name].append(x)
+        self.held += len(ids) // 4
+        if self.held >= self.frame_ids:
             self._flush()
 
     def _flush(self) -> None:
-        if not self.docs:
+        if not self.parts:
             return
         raw = b"".join(self.parts)
         packed = self.pack.compress(raw)
         self.out.write(packed)
-        self.frames.append({"offset": self.at, "packed": len(packed), "raw": len(raw), "crc32": zlib.crc32(raw), "docs": self.docs, "counts": self.counts})
+        for name, x in (("offset", self.at), ("packed", len(packed)), ("raw", len(raw)), ("crc32", zlib.crc32(raw)), ("docs", len(self.parts))):
+            self.frames[name].append(x)
         self.at += len(packed)
-        self.parts, self.docs, self.counts = [], [], []
+        self.parts, self.held = [], 0
 
     def close(self) -> None:
         self._flush()
-        table = self.pack.compress(json.dumps(self.frames).encode())
+        raw = struct.pack("<QQ", len(self.frames["raw"]), len(self.docs["doc"]))
+        for columns, held in ((_FRAME_COLUMNS, self.frames), (_DOC_COLUMNS, self.docs)):
+            raw += b"".join(np.array(held[name], kind).tobytes() for name, kind in columns)
+        table = self.pack.compress(raw)
         self.out.write(table + struct.pack("<Q", len(table)) + MAGIC)
 
 
@@ -82,7 +88,16 @@ class FrameReader:
             raise ValueError("not a token file, or cut short")
         (size,) = struct.unpack("<Q", tail[:8])
         source.seek(end - 16 - size)
-        self.frames = json.loads(zstandard.ZstdDecompressor().decompress(source.read(size)))
+        raw = zstandard.ZstdDecompressor().decompress(source.read(size))
+        n_frames, n_docs = struct.unpack("<QQ", raw[:16])
+        at = 16
+        self.columns: dict[str, np.ndarray] = {}
+        for columns, n in ((_FRAME_COLUMNS, n_frames), (_DOC_COLUMNS, n_docs)):
+            for name, kind in columns:
+                self.columns[name] = np.frombuffer(raw, kind, n, at)
+                at += self.columns[name].nbytes
+        self.starts = np.concatenate([[0], np.cumsum(self.columns["count"].astype(np.int64))])
+        self.first = np.concatenate([[0], np.cumsum(self.columns["docs"].astype(np.int64))])
 
     def _frame(self, f: dict) -> bytes:
         self.source.seek(f["offset"])
@@ -91,17 +106,24 @@ class FrameReader:
             raise ValueError(f"frame at {f['offset']} is damaged")
         return raw
 
+    def places(self, wanted: Iterable[int] | None = None) -> Iterator[tuple[int | None, int, bytes]]:
+        """(doc_id, ids before it in this file, ids) in file order; of wanted documents only, if given: other frames
+        aren't read."""
+        docs, null = self.columns["doc"], self.columns["null"] != 0
+        keep = np.ones(len(docs), bool) if wanted is None else np.isin(docs, np.array(sorted({x for x in wanted if x is not None}), np.int64)) & ~null
+        asked = np.flatnonzero(keep)
+        frame_of = np.searchsorted(self.first, asked, "right") - 1
+        opened, raw = -1, b""
+        for i, k in zip(asked.tolist(), frame_of.tolist(), strict=True):
+            if k != opened:
+                opened, raw = k, self._frame({name: int(self.columns[name][k]) for name, _ in _FRAME_COLUMNS})
+            a = int(self.starts[i]) - int(self.starts[self.first[k]])
+            yield (None if null[i] else int(docs[i])), int(self.starts[i]), raw[4 * a : 4 * (a + int(self.columns["count"][i]))]
+
     def documents(self, wanted: Iterable[int] | None = None) -> Iterator[tuple[int | None, bytes]]:
-        """(doc_id, ids) in file order; of wanted documents only, if given: other frames aren't read."""
-        keep = None if wanted is None else set(wanted)
-        for f in self.frames:
-            if keep is not None and keep.isdisjoint(f["docs"]):
-                continue
-            raw, at = self._frame(f), 0
-            for doc, n in zip(f["docs"], f["counts"], strict=True):
-                if keep is None or doc in keep:
-                    yield doc, raw[at : at + 4 * n]
-                at += 4 * n
+        """(doc_id, ids) in file order, as by places."""
+        for doc, _, ids in self.places(wanted):
+            yield doc, ids
 
 
 def open_file(path: str, mode: str):
@@ -119,14 +141,15 @@ def write_token_files(
     text_col: str = "text",
     tokenizer: str | None = None,
     end_id: int = 0,
-    frame_ids: int = 1 << 18,
+    frame_ids: int = 1,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Encodes every text (null: empty), writes files to folder, and returns their manifest.
+    """Encodes every text (null: empty), writes files to folder, and returns their manifest, itself a written table.
 
-    The manifest has a row per file: file, part, n_docs, n_ids; files in order of part hold ascending ids. Null
-    ids come first; rows that repeat an id stay rows, ordered by a hash of their text. An empty table has no file
-    with documents. folder is a URI that every executor can write (file, s3, gs or hdfs).
+    The manifest has a row per file: file, part, n_docs, n_ids, first_doc, last_doc (smallest and largest id, null ones
+    left out); files in order of part hold ascending ids. Null ids come first; rows that repeat an id stay rows, ordered
+    by a hash of their text. An empty table has no file with documents. folder is a URI that every executor can write
+    (file, s3, gs or hdfs). What a lost task has left there is in no manifest and is ignored.
     """
     path = tokenizer or default_tokenizer()
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -140,33 +163,45 @@ def write_token_files(
 
         part = TaskContext.get().partitionId()
         enc, end = encoder(path), struct.pack("<I", end_id)
-        name = f"part-{part:06d}.stwv"
+        name = f"part-{part:06d}-{uuid.uuid4().hex}.stwv"
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        scratch = f"{root}/_{name}.{uuid.uuid4().hex}"
         n_docs = n_ids = 0
-        with fs.open_output_stream(scratch) as out:
-            w = FrameWriter(out, frame_ids)
-            for b in batches:
-                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    ids = enc.ids(text) + end
-                    w.add(doc, ids)
-                    n_docs, n_ids = n_docs + 1, n_ids + len(ids) // 4
-            w.close()
-        fs.move(scratch, f"{root}/{name}")
-        yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "part": pa.array([part], pa.int32()), "n_docs": [n_docs], "n_ids": [n_ids]})
-
-    return ranged.mapInArrow(write, "file string, part int, n_docs long, n_ids long")
+        first = last = None
+        try:
+            with fs.open_output_stream(f"{root}/{name}") as out:
+                w = FrameWriter(out, frame_ids)
+                for b in batches:
+                    for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                        ids = enc.ids(text) + end
+                        w.add(doc, ids)
+                        n_docs, n_ids = n_docs + 1, n_ids + len(ids) // 4
+                        first, last = doc if first is None else first, doc
+                w.close()
+        except BaseException:
+            fs.delete_file(f"{root}/{name}")
+            raise
+        yield pa.RecordBatch.from_pydict(
+            {
+                "file": [f"{folder}/{name}"], "part": pa.array([part], pa.int32()), "n_docs": [n_docs], "n_ids": [n_ids],
+                "first_doc": pa.array([first], pa.int64()), "last_doc": pa.array([last], pa.int64()),
+            }
+        )
+
+    return cut(ranged.mapInArrow(write, "file string, part int, n_docs long, n_ids long, first_doc long, last_doc long"), "manifest")
 
 
 def read_token_files(spark: SparkSession, manifest: list, wanted: list[int] | None = None) -> DataFrame:
     """doc_id, start (ids of all documents before it in all files), n_tokens and ids (binary) of each document.
 
-    manifest: collected rows of write_token_files, one per file. A task reads whole files.
+    manifest: collected rows of write_token_files, one per file. A task reads whole files, or where documents are asked
+    for, only their frames of those files whose range of ids holds any.
     """
+    asked = None if wanted is None else np.array(sorted({int(x) for x in wanted if x is not None}), np.int64)
     at, rows = 0, []
     for r in sorted(manifest, key=lambda r: r["part"]):
-        rows.append((r["file"], at))
+        if asked is None or r["first_doc"] is not None and np.searchsorted(asked, r["first_doc"]) < np.searchsorted(asked, r["last_doc"], "right"):
+            rows.append((r["file"], at))
         at += r["n_ids"]
     files = spark.createDataFrame(rows, "file string, base long")
     files = files.repartition(max(1, len(rows)), "file")
@@ -175,32 +210,25 @@ def read_token_files(spark: SparkSession, manifest: list, wanted: list[int] | No
         for b in batches:
             for file, base in zip(b.column("file").to_pylist(), b.column("base").to_pylist(), strict=True):
                 with open_file(file, "r") as src:
-                    reader = FrameReader(src)
-                    starts: list[np.ndarray] = []
-                    at = base
-                    for f in reader.frames:
-                        starts.append(at + np.cumsum([0, *f["counts"]])[:-1])
-                        at += sum(f["counts"])
-                    if wanted is not None:
-                        place = {(k, i): s for k, f in enumerate(reader.frames) for i, s in enumerate(starts[k])}
-                    for k, f in enumerate(reader.frames):
-                        if wanted is not None and set(wanted).isdisjoint(f["docs"]):
-                            continue
-                        raw, pos, ids, docs, first = reader._frame(f), 0, [], [], []
-                        for i, (doc, n) in enumerate(zip(f["docs"], f["counts"], strict=True)):
-                            if wanted is None or doc in wanted:
-                                ids.append(raw[pos : pos + 4 * n])
-                                docs.append(doc)
-                                first.append(int(starts[k][i] if wanted is None else place[k, i]))
-                            pos += 4 * n
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(docs, pa.int64()), pa.array(first, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                            ["doc_id", "start", "n_tokens", "ids"],
-                        )
+                    held: list[tuple] = []
+                    size = 0
+                    for doc, start, ids in FrameReader(src).places(asked):
+                        held.append((doc, base + start, len(ids) // 4, ids))
+                        size += len(ids)
+                        if size >= 1 << 20 or len(held) >= 4096:
+                            yield _documents(held)
+                            held, size = [], 0
+                    if held:
+                        yield _documents(held)
 
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def _documents(held: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], ["doc_id", "start", "n_tokens", "ids"])
+
+
 def token_file_index(docs: DataFrame, **options) -> DataFrame:
     """Writes token files to the shared folder and returns, read back from them, doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession

@@ -4,7 +4,10 @@ Byte-level BPE cuts a text into words before it merges, and a single space betwe
 white space always starts a word there. So a text's ids are those of its pieces between such spaces, each
 encoded with its space by the tokenizers library and kept in a bounded cache of the task. A piece that is new
 is put together from its words, which have a cache of their own. A text in which white space stands beside white
-space, or at its end, is encoded whole instead.
+space, or at its end, or that holds the string of an added token, is encoded whole instead.
+
+By default an added token's string gets that token's id, as the library gives it for a file that it has just loaded;
+plain=True makes it ordinary text, for corpora that must not write control tokens.
 """
 
 from __future__ import annotations
@@ -36,12 +39,12 @@ def default_tokenizer() -> str:
 
 
 @functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _tokenizer(path: str, plain: bool):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # their strings in a text are ordinary text
+    out.encode_special_tokens = plain
     return out
 
 
@@ -72,8 +75,9 @@ class _Cache(dict):
 class Encoder:
     """Ids and character offsets of whole texts, equal to those of one call over the text."""
 
-    def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+    def __init__(self, path: str, plain: bool = False):
+        self.tokenizer = _tokenizer(path, plain)
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (plain and t.special))
         self.tokenize = self.tokenizer.model.tokenize
         self._word_ids = _Cache(self._word)
         self._word_starts = _Cache(self._starts_in_word)
@@ -119,12 +123,15 @@ class Encoder:
             at += len(word)
         return out.tobytes()
 
+    def _whole_only(self, text: str) -> bool:
+        return any(map(text.__contains__, self.added))
+
     def ids(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; none for null or empty text."""
         if not text:
             return b""
         head, *rest = text.split(" ")
-        if head and not head[-1].isspace():
+        if head and not head[-1].isspace() and not self._whole_only(text):
             try:
                 return self._whole(head) + b"".join(map(self._ids.__getitem__, rest))
             except _Awkward:
@@ -136,7 +143,7 @@ class Encoder:
         if not text:
             return np.zeros(0, np.int64)
         head, *rest = text.split(" ")
-        if head and not head[-1].isspace():
+        if head and not head[-1].isspace() and not self._whole_only(text):
             try:
                 parts = [self._whole_starts(head), *map(self._starts.__getitem__, rest)]
             except _Awkward:
@@ -148,6 +155,6 @@ class Encoder:
         return np.frombuffer(self._whole_starts(text), "<u4").astype(np.int64)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """An encoder for one task: workers are reused by later stages, which shouldn't find its caches there."""
-    return Encoder(path)
+    return Encoder(path, plain)

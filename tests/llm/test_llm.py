@@ -26,8 +26,7 @@ def ascii_lower(text):
 def encode():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.default_tokenizer())
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(tokens.default_tokenizer())  # as the contracts have it: nothing else is set
     return lambda x: t.encode(x or "", add_special_tokens=False)
 
 
@@ -687,3 +686,66 @@ def test_a_node_of_high_degree_is_not_shuffled(spark, monkeypatch):
     right = left.groupBy("k").agg(F.count("*").alias("n"), F.sum("x").alias("s"))
     one, two = module.join_counted(left, right, ["k"], "n", 100), left.join(right, "k")
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) and one.count() == 100
+
+
+def test_strings_of_added_tokens(encode, spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_tokenizer())
+    plain.encode_special_tokens = True
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a <|endof text|> b", "<|endoftext|> <|endoftext|>\n"]
+    enc, own = tokens.Encoder(tokens.default_tokenizer()), tokens.Encoder(tokens.default_tokenizer(), plain=True)
+    for t in texts:
+        assert np.frombuffer(enc.ids(t), "<u4").tolist() == encode(t).ids and enc.starts(t).tolist() == [a for a, _ in encode(t).offsets]
+        e = plain.encode(t, add_special_tokens=False)
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == e.ids and own.starts(t).tolist() == [a for a, _ in e.offsets]
+    assert encode(texts[0]).ids == [64, 220, 50256, 275]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = {i: np.array([*encode(t).ids, 0], "<u4").tobytes() for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids_crc32 for r in token_files.token_file_index(d).collect()} == {i: zlib.crc32(b) for i, b in ids.items()}
+    check_packing(packing.pack(d).collect(), ids, 1024)
+    assert {r.doc_id: r.n for r in attribution.tokens_by_line(d).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()} == {i: len(b) // 4 - 1 for i, b in ids.items()}
+
+
+def test_token_files_give_wanted_documents(spark, encode, tmp_path):
+    rows = [(i, f"text {i} " * (i % 5)) for i in range(200)] + [(None, "no id"), (7, "again")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for frame_ids in (1, 50):
+        manifest = token_files.write_token_files(d, f"file://{tmp_path}/{frame_ids}", partitions=6, frame_ids=frame_ids).collect()
+        assert sum(r.n_docs for r in manifest) == len(rows)
+        every = {(r.doc_id, r.start): bytes(r.ids) for r in token_files.read_token_files(spark, manifest).collect()}
+        assert len(every) == len(rows)
+        got = {(r.doc_id, r.start): bytes(r.ids) for r in token_files.read_token_files(spark, manifest, [7, 150, 999]).collect()}
+        assert got == {k: v for k, v in every.items() if k[0] in (7, 150)} and len(got) == 3
+        assert token_files.read_token_files(spark, manifest, [999]).count() == 0
+        # an attempt that was lost leaves a file that no manifest lists
+        (tmp_path / str(frame_ids) / "part-000000-lost.stwv").write_bytes(b"half a fra")
+        assert token_files.read_token_files(spark, manifest).count() == len(rows)
+
+
+def test_a_frame_of_many_short_documents_takes_linear_time(tmp_path):
+    import time
+
+    took = []
+    for n in (20_000, 160_000):
+        with (tmp_path / "f").open("wb") as f:
+            w, began = token_files.FrameWriter(f, frame_ids=1 << 30), time.perf_counter()
+            for k in range(n):
+                w.add(k, b"\0\0\0\0")
+            w.close()
+            took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0]  # 8 times the documents; the square would be 64
+
+
+@pytest.mark.parametrize("n", [601, 700, 513, 1000, 3])
+def test_rests_that_do_not_fit_are_cut(spark, encode, n):
+    word = next(w for w in (" a", " the") if len(encode(w * 5).ids) == 5)
+    rows = [(i, word * (n - 1)) for i in range(400 if n > 3 else 5000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = {i: np.array([*encode(rows[0][1]).ids, 0], "<u4").tobytes() for i, _ in rows}
+    assert len(ids[0]) == 4 * n
+    tokens_in = n * len(rows)
+    assert check_packing(packing.pack(d).collect(), ids, 1024) >= tokens_in / (1024 * math.ceil(tokens_in / 1024 / 0.985))
+    uncut = packing.pack(d, full=0.0).collect()
+    assert all(r.length == n for r in uncut)
+    check_packing(uncut, ids, 1024)
