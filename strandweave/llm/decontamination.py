@@ -4,21 +4,25 @@ Every document's words stream through the automaton, which keeps the longest mat
 that reaches `window` words, the last `window` of them stand in some item; items with fewer words count as one
 window each. The union of such occurrences is what is hit.
 
-Items are split into automata of at most `shard_words` words (about 300 bytes of worker memory a word), so that
-a benchmark of any size is matched: each automaton is broadcast and passes over the documents in turn.
+Items are dealt by a hash of their id to automata of about `shard_words` words (some 300 bytes of worker memory a word),
+so that a benchmark of any size is matched: the items are written to the shared folder, workers read those of one
+automaton and build it, and each automaton passes over the same documents. The spans of all automata are put together
+before anything is judged or cut, so the number of automata changes no result. The driver holds no items.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm import bytekit as bk
-from strandweave.runtime import cut
+from strandweave.runtime import cut, new_folder
 
 #: Bytes that are not part of a word become spaces; A-Z become a-z.
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if bk.ALNUM[b] else 32 for b in range(256))
@@ -32,7 +36,7 @@ def words(text: str | None) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton over word numbers, with the items behind each window."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -151,91 +155,89 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode("utf-8")
 
 
-class Items:
-    """Benchmark items of one automaton; each worker builds it once."""
-
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
-        self.items, self.window, self._automaton = items, window, None
-
-    def __getstate__(self):
-        return {"items": self.items, "window": self.window, "_automaton": None}
-
-    def automaton(self) -> Automaton:
-        if self._automaton is None:
-            self._automaton = Automaton(self.items, self.window)
-        return self._automaton
-
-
-def benchmark_items(benchmark: DataFrame, window: int, shard_words: int) -> list[Items]:
-    """Items of the benchmark in groups of at most shard_words words (or of one item)."""
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    out: list[Items] = []
-    held: list[tuple[int, list[bytes]]] = []
-    n = 0
-    for item, text in rows.orderBy("item_id", "text").toLocalIterator():
-        ws = words(text)
-        if held and n + len(ws) > shard_words:
-            out.append(Items(held, window))
-            held, n = [], 0
-        held.append((item, ws))
-        n += len(ws)
-    if held:
-        out.append(Items(held, window))
-    return out
+@functools.lru_cache(maxsize=1)
+def _automaton(folder: str, shard: int, window: int) -> Automaton:
+    """The automaton of one shard of written items; a worker keeps the last one that it has built."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    items = pads.dataset(root, filesystem=fs, format="parquet").to_table(filter=pads.field("shard") == shard)
+    rows = sorted(zip(items.column("item").to_pylist(), items.column("text").to_pylist(), strict=True))
+    return Automaton([(item, words(text)) for item, text in rows], window)
 
 
-def _digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+def write_items(benchmark: DataFrame, shard_words: int) -> tuple[str, int]:
+    """Writes (shard, item, text) of all items with id and text to the shared folder; the folder and number of shards."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    size = items.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
+    shards = max(1, -(-size // shard_words))
+    folder = new_folder(benchmark.sparkSession, "items")
+    items.select(F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int").alias("shard"), "item", "text").repartition("shard").write.parquet(folder)
+    return folder, shards
 
 
-_SCHEMA = "_rid long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>, longest long"
+_SPANS = "array<struct<start:long,end:long>>"
+_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = 200_000) -> DataFrame:
-    """doc_id, n_words, spans (word intervals hit), items (ids with an occurring window), longest (match in words).
+def _scanned(folder: str, shard: int, window: int):
+    """Arrow UDF: struct of n_words, spans, items and longest of each text, by one automaton."""
 
-    One row per row of docs. Null text has no words; items of null id or text, or without words, never occur; rows
-    that repeat an item_id are one item with several texts. Empty tables give no rows, or rows without hits.
-    """
-    spark = docs.sparkSession
-    shards = benchmark_items(benchmark, window, shard_words) or [Items([], window)]
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if len(shards) > 1:
-        rows = cut(rows, "documents")
-
-    def one(shard: Items) -> DataFrame:
-        held = spark.sparkContext.broadcast(shard)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = held.value.automaton()
-            for b in batches:
-                n, spans, items, longest = [], [], [], []
-                for text in b.column("text"):
-                    ws = words(text.as_py())
-                    s, i, m = automaton.scan(ws)
-                    n.append(len(ws))
-                    spans.append([{"start": x, "end": y} for x, y in s])
-                    items.append(sorted(i))
-                    longest.append(m)
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("_rid"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.int64())), pa.array(longest, pa.int64())],
-                    ["_rid", "doc_id", "n_words", "spans", "items", "longest"],
-                )
-
-        return rows.mapInArrow(scan, _SCHEMA)
-
-    found = one(shards[0])
-    if len(shards) == 1:
-        return found.drop("_rid")
-    for s in shards[1:]:
-        found = found.unionByName(one(s))
-    merged = F.udf(lambda spans: [(a, b) for a, b in merge([(s["start"], s["end"]) for s in spans])], "array<struct<start:long,end:long>>")
-    by = found.groupBy("_rid").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+    @F.arrow_udf(f"n_words long, spans {_SPANS}, items array<string>, longest long")
+    def scan(col: pa.Array) -> pa.Array:
+        automaton = _automaton(folder, shard, window)
+        n, spans, items, longest = [], [], [], []
+        for text in col:
+            ws = words(text.as_py())
+            s, i, m = automaton.scan(ws)
+            n.append(len(ws))
+            spans.append([{"start": x, "end": y} for x, y in s])
+            items.append(sorted(i))
+            longest.append(m)
+        return pa.StructArray.from_arrays(
+            [pa.array(n, pa.int64()), pa.array(spans, _SPAN_TYPE), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())], ["n_words", "spans", "items", "longest"]
+        )
+
+    return scan
+
+
+def _merged(spans: Column) -> Column:
+    """Spans sorted and put together where they meet."""
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        head = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when((F.size(acc) > 0) & (s["start"] <= last["end"]), F.concat(head, F.array(joined))).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(_SPANS), step)
+
+
+def _matched(rows: DataFrame, row: str, items: tuple[str, int], window: int) -> DataFrame:
+    """row, n_words, spans, items, longest by all automata; rows (row, text) must be a written table if there are several."""
+    folder, shards = items
+    found = [rows.select(row, _scanned(folder, k, window)("text").alias("_m")).select(row, "_m.*") for k in range(shards)]
+    if shards == 1:
+        return found[0]
+    every = functools.reduce(DataFrame.unionByName, found)
+    by = every.groupBy(row).agg(
+        F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"),
     )
-    return by.withColumn("spans", F.when(F.size("spans") > 1, merged("spans")).otherwise(F.col("spans"))).drop("_rid")
+    return by.withColumn("spans", F.when(F.size("spans") > 1, _merged(F.col("spans"))).otherwise(F.col("spans")))
+
+
+def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = 200_000) -> DataFrame:
+    """doc_id, n_words, spans (word intervals hit), items (ids, as strings, with an occurring window), longest (match in words).
+
+    One row per row of docs; ids are of any type. Null text has no words; items of null id or text, or without words,
+    never occur; rows that repeat an item_id are one item with several texts. Empty tables give no rows, or rows without
+    hits. A very long text is scanned whole; memory follows its number of words. shard_words changes no result.
+    """
+    items = write_items(benchmark, shard_words)
+    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), "doc_id", F.col("text").cast("string").alias("text"))
+    if items[1] == 1:
+        return rows.select("doc_id", _scanned(items[0], 0, window)("text").alias("_m")).select("doc_id", "_m.*")
+    rows = cut(rows, "documents")
+    return rows.select("_rid", "doc_id").join(_matched(rows, "_rid", items, window), "_rid").drop("_rid")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, coverage: int = 20, **options) -> DataFrame:
@@ -245,7 +247,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
     """
     found = match_benchmark(docs, benchmark, window, **options)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    joined = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    joined = F.array_join("items", ",")  # sorted as strings
     out = found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), "longest")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words"))).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"
@@ -256,29 +258,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
     """docs, with all their columns, without benchmark text.
 
     remove="documents": rows whose hit words reach 1 / coverage of their words go, all others stay as they are.
-    remove="spans": every row stays, and the words that windows hit are cut out of its text.
+    remove="spans": every row stays, and the words that windows of any item hit are cut out of its text, all at once. Null
+    texts, and texts without a hit, stay as they are. Repeated rows and null ids are rows as any.
     """
-    spark = docs.sparkSession
-    shards = benchmark_items(benchmark, window, shard_words)
-    if remove == "documents" and len(shards) > 1:  # a row is judged by the items of all automata together
-        name = "_row"
-        while name in docs.columns:
-            name += "_"
-        kept = cut(docs.withColumn(name, F.monotonically_increasing_id()), "documents")
-        judged = contamination(kept.select(F.col(name).alias("doc_id"), "text"), benchmark, window, coverage, shard_words=shard_words)
-        return kept.join(judged.where("contaminated").select(F.col("doc_id").alias(name)), name, "left_anti").drop(name)
-    out = docs
-    for shard in shards:
-        held = spark.sparkContext.broadcast(shard)
+    if remove not in ("documents", "spans"):
+        raise ValueError("remove must be documents or spans")
+    folder, shards = write_items(benchmark, shard_words)
+    if shards == 1:
         text = F.col("text").cast("string")
-        out = out.withColumn("text", _cut_udf(held)(text)) if remove == "spans" else out.where(~_judge_udf(held, coverage)(text))
-    return out
+        return docs.withColumn("text", _cut_udf(folder, window)(text)) if remove == "spans" else docs.where(~_judge_udf(folder, window, coverage)(text))
+    name, spans = "_row", "_spans"
+    while {name, spans} & set(docs.columns):
+        name, spans = name + "_", spans + "_"
+    rows = cut(docs.withColumn(name, F.monotonically_increasing_id()), "documents")
+    found = _matched(rows.select(name, F.col("text").cast("string").alias("text")), name, (folder, shards), window)
+    found = found.where(F.size("spans") > 0)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    if remove == "documents":
+        return rows.join(found.where(coverage * hit >= F.col("n_words")).select(name), name, "left_anti").drop(name)
+    out = rows.join(found.select(name, F.col("spans").alias(spans)), name, "left")
+    return out.withColumn("text", F.when(F.col(spans).isNotNull(), _cut_spans_udf()(F.col("text").cast("string"), F.col(spans))).otherwise(F.col("text"))).select(docs.columns)
 
 
-def _judge_udf(held, coverage: int):
+def _judge_udf(folder: str, window: int, coverage: int):
     @F.arrow_udf("boolean")
     def judge(col: pa.Array) -> pa.Array:
-        automaton, out = held.value.automaton(), []
+        automaton, out = _automaton(folder, 0, window), []
         for text in col:
             ws = words(text.as_py())
             hit = sum(b - a for a, b in automaton.scan(ws)[0])
@@ -288,10 +293,10 @@ def _judge_udf(held, coverage: int):
     return judge
 
 
-def _cut_udf(held):
+def _cut_udf(folder: str, window: int):
     @F.arrow_udf("string")
     def cut_out(col: pa.Array) -> pa.Array:
-        automaton, out = held.value.automaton(), []
+        automaton, out = _automaton(folder, 0, window), []
         for text in col:
             t = text.as_py()
             spans = automaton.scan(words(t))[0]
@@ -299,3 +304,14 @@ def _cut_udf(held):
         return pa.array(out, pa.string())
 
     return cut_out
+
+
+def _cut_spans_udf():
+    @F.arrow_udf("string")
+    def cut_out(col: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for text, s in zip(col.to_pylist(), spans.to_pylist(), strict=True):
+            out.append(without_spans(text, [(x["start"], x["end"]) for x in s]) if text is not None and s else text)
+        return pa.array(out, pa.string())
+
+    return cut_out

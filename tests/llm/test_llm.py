@@ -749,3 +749,30 @@ def test_rests_that_do_not_fit_are_cut(spark, encode, n):
     uncut = packing.pack(d, full=0.0).collect()
     assert all(r.length == n for r in uncut)
     check_packing(uncut, ids, 1024)
+
+
+def test_spans_do_not_depend_on_the_number_of_automata(spark):
+    a = [f"a{k}" for k in range(1, 20)]
+    x = [f"x{k}" for k in range(6)] + [f"y{k}" for k in range(7)]
+    bench = spark.createDataFrame([("i1", " ".join(a[:13])), ("i2", " ".join(a[6:])), ("i3", " ".join(x)), ("i4", "q1 q2"), (None, "z"), ("i5", None)], "item_id string, text string")
+    texts = {
+        "d1": " ".join(a), "d2": " ".join(x[:6] + ["q1", "q2"] + x[6:]), "d3": " ".join(["before", *a, "mid", *x, "q1 q2", "after"]), "d4": "clean words", "d5": None, "d6": "",
+        "d7": " ".join(a[:12]), "d8": "Q1, q2! q1 q2 end",
+    }
+    want = {"d1": "", "d2": " ".join(x), "d3": "before mid after", "d4": "clean words", "d5": None, "d6": "", "d7": " ".join(a[:12]), "d8": "end"}
+    d = spark.createDataFrame(list(texts.items()), "doc_id string, text string").withColumn("_row", F.lit("clash")).withColumn("_spans", F.lit(1))
+    results = []
+    for shard in (200_000, 13, 1):
+        got = decontamination.decontaminate(d, bench, remove="spans", shard_words=shard)
+        assert got.columns == d.columns
+        got = {r.doc_id: r.text for r in got.collect()}
+        assert {k: None if t is None else " ".join(t.split()) for k, t in got.items()} == want
+        found = {r.doc_id: tuple(r) for r in decontamination.contamination(d, bench, shard_words=shard).collect()}
+        kept = sorted(r.doc_id for r in decontamination.decontaminate(d, bench, shard_words=shard).collect())
+        results.append((found, kept))
+    assert results[0][1] == ["d4", "d5", "d6", "d7"]
+    for found, kept in results[1:]:
+        assert kept == results[0][1] and {k: v[:6] for k, v in found.items()} == {k: v[:6] for k, v in results[0][0].items()}
+    assert results[0][0]["d3"][2:4] == (34, 4) and results[0][0]["d3"][4] == hashlib.sha256(b"i1,i2,i3,i4").hexdigest()
+    with pytest.raises(ValueError):
+        decontamination.decontaminate(d, bench, remove="words")
