@@ -776,3 +776,69 @@ def test_spans_do_not_depend_on_the_number_of_automata(spark):
     assert results[0][0]["d3"][2:4] == (34, 4) and results[0][0]["d3"][4] == hashlib.sha256(b"i1,i2,i3,i4").hexdigest()
     with pytest.raises(ValueError):
         decontamination.decontaminate(d, bench, remove="words")
+
+
+def test_long_runs_and_long_pieces_are_summed_in_full():
+    """Against the sum written out over positions, in exact logarithms, for runs without white space of any length."""
+    vocab = language.pieces(language.default_vocabulary())
+    lattice = language.Lattice(vocab)
+    assert max(lattice.lengths) > 100
+    rng = np.random.default_rng(1)
+    prob = rng.random((lattice.size + 1, 2)) / lattice.size
+    prob[-1] = 0
+    logs = np.log(prob[:-1])
+    at = {v: k for k, v in enumerate(vocab)}
+    most = max(lattice.lengths)
+
+    def plain(run, k):
+        alpha = [0.0] + [-math.inf] * len(run)
+        for e in range(1, len(run) + 1):
+            terms = [alpha[a] + logs[at[run[a:e]], k] for a in range(max(0, e - most), e) if run[a:e] in at]
+            top = max(terms)
+            alpha[e] = top + math.log(sum(math.exp(t - top) for t in terms))
+        return alpha[-1]
+
+    alphabet = b"abcdefghijklmnop0123456789+/"
+    runs = [("日本語の文章は空白を使わない。" * 12).encode(), b"=" * 300, b"-" * 70, bytes(alphabet[i % len(alphabet)] for i in rng.integers(0, 99, 400)), b" " + b"internationalization" * 9, b"x" * 65]
+    for run in runs:
+        got = language.long_word_logs(lattice, np.frombuffer(run, np.uint8), prob, logs)
+        assert np.allclose(got, [plain(run, 0), plain(run, 1)], rtol=1e-9)
+        spans = lattice.spans(np.frombuffer(run, np.uint8))
+        assert spans[0][0] == 0 and spans[-1][1] == len(run) and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
+    assert len(lattice.spans(np.frombuffer(runs[0], np.uint8))) > 20
+    # expected uses of pieces: by position, over all segmentations
+    got, one = np.zeros(lattice.size + 1), np.frombuffer(runs[1][:90], np.uint8)
+    language._expected_long(lattice, one, logs[:, 0], 2.0, got)
+    assert np.isclose(sum(got[i] * len(vocab[i]) for i in np.flatnonzero(got)), 180)
+    words, length = language._pad(one, np.array([0]), np.array([60]), lead=False)
+    short, other = language._expected(lattice, words, length, prob[:, :1], np.array([2.0])), np.zeros(lattice.size + 1)
+    language._expected_long(lattice, one[:60], logs[:, 0], 2.0, other)
+    assert np.allclose(short, other)
+
+
+def test_languages_without_spaces_and_mixed_texts(spark):
+    import random as r
+
+    rng = r.Random(0)
+    sets = {"ja": "あいうえおかきくけこ日本語", "th": "กขคงจฉชซฌญ", "en": None}
+    words_en = "the of and to in is that it was for on are as with his they at be this have from".split()
+
+    def make(lang, n):
+        return " ".join(rng.choice(words_en) for _ in range(n)) if lang == "en" else "".join(rng.choice(sets[lang]) for _ in range(n))
+
+    rows = [(i, make(lang, 300), lang) for i, lang in enumerate(["ja", "th", "en"] * 30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_language(d)
+    half = make("en", 40) + " " + make("ja", 40).replace("あ", " ")
+    names, score = model.predict(pa.array([make("ja", 900), make("th", 5000), make("en", 400), make("en", 1), "12 34", half]))
+    assert names[:5] == ["ja", "th", "en", "en", "und"] and min(score[:3]) > 0.9 and score[4] == 0
+    assert language.keep_language(d.withColumn("_language", F.lit(1))).count() == 90
+
+
+def test_any_number_of_languages(spark):
+    rows = [(4 * k + j, f"w{k}x w{k}y the w{k}z", f"l{k:04d}") for k in range(1005) for j in range(4)] + [(2, "other words", "l0000"), (2, "w0x", "l0001")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_language(d, rounds=1)
+    assert len(model.languages) > 990
+    names, score = model.predict(pa.array(["w700x w700y w700z w700x", None, ""]))
+    assert names == ["l0700", "und", "und"] and 0 < score[0] <= 1
