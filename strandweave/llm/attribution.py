@@ -102,8 +102,11 @@ def tokens_by_field(df: DataFrame, id_col: str, fields: list[str], joiner: str =
     """id, field, n_tokens, n_crossing of the fields of each row, encoded as one text joined by `joiner`.
 
     A field's span includes the joiner that follows it. Null fields are empty and have a row with what falls on
-    their joiner.
+    their joiner; a row's n_tokens add up to the tokens of its joined text. Rows that repeat an id, and null ids, are rows
+    as any; an empty table gives an empty result; other columns, and fields named id or field, do no harm.
     """
+    if rule not in RULES:
+        raise ValueError(f"rule must be one of {RULES}")
     path = tokenizer or default_tokenizer()
     names = list(fields)
 

@@ -1,7 +1,8 @@
 """Vectorised text kernels: words, lines and their 64-bit hashes over the byte buffers of Arrow string columns.
 
-Hashes are polynomial in the bytes, modulo 2**64, finished with a mixer. All kernels work in blocks, so that
-memory does not grow with the length of one text.
+Hashes are polynomial in the bytes, modulo 2**64, finished with a mixer. Kernels take blocks of rows of about BLOCK bytes;
+a longer text is a block of its own. Memory follows the longest text: a byte's flags, and some 40 bytes for each of its
+words, about 10 times its length in all.
 """
 
 from __future__ import annotations

@@ -42,7 +42,8 @@ FAMILIES = (
     ("gpl-3", "gpl", r"gpl ?v?3(?: 0)?", r"gplv3"),
     ("gpl-2", "gpl", r"gpl ?v?2(?: 0)?", r"gplv2"),
     ("lgpl-3", "lesser", r"gnu lesser general public licen[sc]e(?: version| v)? ?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
-    ("lgpl-2", "l", r"gnu (?:lesser|library) general public licen[sc]e(?: version| v)? ?2(?: [01])?", r"lgpl 2 [01](?: only| or later)?"),
+    ("lgpl-2", "lesser", r"gnu lesser general public licen[sc]e(?: version| v)? ?2(?: [01])?", r"lgpl 2 [01](?: only| or later)?"),
+    ("lgpl-2", "library", r"gnu library general public licen[sc]e(?: version| v)? ?2(?: [01])?", None),
     ("lgpl", "lgpl", r"lgpl ?(?:v?[23](?: [01])?)?", r"lgpl"),
     ("agpl-3", "affero", r"gnu affero general public licen[sc]e(?: version| v)?(?: ?3(?: 0)?)?", r"agpl 3 0(?: only| or later)?"),
     ("agpl-3", "agpl", r"agpl ?v?3?(?: 0)?", r"agpl"),
@@ -55,7 +56,8 @@ FAMILIES = (
     ("isc", "internet systems", r"internet systems consortium", None),
     ("mpl-2", "moz", r"mozilla public licen[sc]e(?: version| v)? ?2(?: 0)?", r"mpl 2 0"),
     ("mpl-1", "moz", r"mozilla public licen[sc]e(?: version| v)? ?1(?: [01])?", r"mpl 1 [01]"),
-    ("mpl", "m", r"mozilla public licen[sc]e|mpl", r"mpl"),
+    ("mpl", "moz", r"mozilla public licen[sc]e", r"mpl"),
+    ("mpl", "mpl", r"mpl", None),
     ("epl-2", "ecl", r"eclipse public licen[sc]e(?: version| v)? ?2(?: 0)?", r"epl 2 0"),
     ("epl-1", "ecl", r"eclipse public licen[sc]e(?: version| v)? ?1(?: 0)?", r"epl 1 0"),
     ("cddl", "development", r"common development and distribution licen[sc]e(?:(?: version| v)? 1(?: [01])?)?", r"cddl 1 [01]"),
@@ -101,7 +103,7 @@ NOTICES = (
 )
 PRIORITIES = 7
 
-#: Every text that a rule matches holds one of these.
+#: Every text that a rule of this module matches holds one of these; rules given by the caller add their own keywords.
 GATE = ("licen", "under the ", "under ", "cc by", "attribution", "public domain", "rights reserved", "copyright", "warrant", "proprietary")
 
 
@@ -136,27 +138,31 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     starts (words from 0; null without any). labels holds base labels and those of detections that stay; both are
     distinct, sorted, comma-joined, empty without any. score is the confidence of the best detection that stays, 0
     without any. detections lists (start, end, label) of those. Null text has no words. Rows that repeat an id are
-    rows of their own; null ids pass through; other columns are not looked at; an empty table gives none.
+    rows of their own; null ids pass through; other columns are not looked at; an empty table gives none. A very long text
+    is matched whole. extra: rules of the caller's after those of this module; any text may stand in them, a pattern
+    matches only texts that hold its keyword, and priorities from 0 to 6 suppress as described.
     """
     table = [*rules(), *(extra or [])]
-    shape = "array<struct<k:int,p:int,label:string,conf:double,kw:string,re:string,base:boolean>>"
-    listed = ", ".join(
-        f"named_struct('k', {k}, 'p', {r.priority}, 'label', '{r.label}', 'conf', {r.confidence}D, 'kw', '{r.keyword}', "
-        f"'re', r'(?i)(?<![^ ])(?:{r.pattern})(?![^ ])', 'base', {str(r.base).lower()})"
-        for k, r in enumerate(table)
-    )
-    rule_list = F.expr(f"array({listed})").cast(shape)
+    rule_list = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("k"), F.lit(r.priority).alias("p"), F.lit(r.label).alias("label"), F.lit(float(r.confidence)).alias("conf"), F.lit(r.keyword.lower()).alias("kw"),
+                F.lit(f"(?i)(?<![^ ])(?:{r.pattern})(?![^ ])").alias("re"), F.lit(r.base).alias("base"),
+            )
+            for k, r in enumerate(table)
+        ]
+    )
     text = F.col(text_col).cast("string")
     low = F.lower("_w")
     gate = F.lit(False)
-    for g in GATE if not extra else ("",):
+    for g in (*GATE, *(r.keyword.lower() for r in extra or [])):
         gate = gate | F.contains(low, F.lit(g))
     rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(id_col).alias("doc_id"), words_of(text).alias("_w"))
     rows = rows.withColumn("n_words", _count(F.col("_w")).cast("long"))
     rows = rows.withColumn("_rules", F.when(gate, F.filter(rule_list, lambda r: F.contains(F.lower("_w"), r["kw"]))))
     rows = rows.select("_rid", "doc_id", "n_words", "_w", F.explode_outer("_rules").alias("_r"))
-    found = F.regexp_extract_all("_w", F.col("_r.re"), F.lit(0))
-    hit = F.when(F.col("_r").isNotNull() & F.rlike("_w", F.col("_r.re")), F.arrays_zip(F.split("_w", F.col("_r.re")).alias("gap"), found.alias("match")))
+    rows = rows.withColumn("_found", F.regexp_extract_all("_w", F.col("_r.re"), F.lit(0)))
+    hit = F.when(F.size("_found") > 0, F.arrays_zip(F.split("_w", F.col("_r.re")).alias("gap"), F.col("_found").alias("match")))
     rows = rows.select("_rid", "doc_id", "n_words", "_r.k", "_r.p", "_r.label", "_r.conf", "_r.base", F.posexplode_outer(hit).alias("_pos", "_m"))
     rows = rows.select(
         "_rid", "doc_id", "n_words", "k", "p", "label", "conf", "base", "_pos",

@@ -171,22 +171,24 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, **options) -> Forest:
     """Fits on at most max_rows labelled documents, those whose id hashes lowest; held-out ids never take part.
 
-    Labels that are null or of a null id are left out; contradicting labels of one id count as their share.
+    Labels that are null or of a null id are left out; contradicting labels of one id count as their share. Of rows that
+    repeat an id the one whose text hashes lowest is learned from, so that the driver gets at most max_rows rows.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.avg(F.when(F.col("quality") > 0, 1.0).otherwise(0.0)).alias("_y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most max_rows ids
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("_th"))
+    rows = rows.join(F.broadcast(known), "doc_id").select("doc_id", "text", "_th", "_y")  # at most max_rows ids
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = statistics(b.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("_y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["doc_id", "_y", "x"]
-            )
+            listed = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_th"), b.column("_y"), listed], ["doc_id", "_th", "_y", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(take, f"doc_id {kind}, _y double, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    got = rows.mapInArrow(take, f"doc_id {kind}, _th long, _y double, x array<double>")
+    got = got.groupBy("doc_id").agg(F.min(F.struct("_th", "_y", "x")).alias("_one")).select("doc_id", "_one._y", "_one.x").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     return fit_forest(x, got["_y"].to_numpy(float), **options)
 
@@ -203,14 +205,19 @@ def quality_score(model: Forest, text: str = "text") -> Column:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs. An empty table of labels gives every row 0.5."""
+    """doc_id, held_out, score, predicted of every row of docs. An empty table of labels gives every row 0.5.
+
+    Null text is empty and has a score as any; rows that repeat an id are scored by their own texts; null ids are never
+    held out. predicted is 1 where the score reaches the threshold, equality included.
+    """
     model = fit_quality(docs, labels, **options)
     out = docs.select("doc_id", held_out().alias("held_out"), quality_score(model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """The rows of docs, with all their columns, whose score reaches the threshold."""
+    """The rows of docs, with all their columns, whose score reaches the threshold; rows are judged one by one, as score_quality
+    does, whatever their ids. An empty table of labels keeps nothing at a threshold above 0.5."""
     model = fit_quality(docs, labels, **options)
     name = "_quality_score"
     while name in docs.columns:

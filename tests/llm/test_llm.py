@@ -318,8 +318,8 @@ def test_quality_held_out(spark, sf_dir):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     got = {r.doc_id: r for r in queries.op2_quality(spark, sf_dir).collect()}
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for i, r in got.items())
-    right = [got[i].predicted == q for i, q in labels.items()]
-    assert sum(right) / len(right) > 0.95
+    right = [got[i].predicted == q for i, q in labels.items() if got[i].held_out]
+    assert len(right) >= 10 and sum(right) / len(right) > 0.9
 
 
 def test_quality_of_odd_rows(spark, odd, none):
@@ -842,3 +842,125 @@ def test_any_number_of_languages(spark):
     assert len(model.languages) > 990
     names, score = model.predict(pa.array(["w700x w700y w700z w700x", None, ""]))
     assert names == ["l0700", "und", "und"] and 0 < score[0] <= 1
+
+
+def brute_statistics(text):
+    """The statistics one by one, in plain Python over characters of the UTF-8 bytes."""
+    b = (text or "").encode()
+    kind = {}
+    for name, k in (("abcdefghijklmnopqrstuvwxyz", 1), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2), ("0123456789", 3), (" \t\r\x0b\x0c", 4), ("\n", 5), (".,;:?'\"()-", 6), ("!", 7), ("|", 8), ("#$%&*+=<>@[]\\^_`{}~/", 9)):
+        kind |= {ord(c): k for c in name}
+    kinds = [kind.get(x, 0 if x < 128 else 10 if x < 192 else 11) for x in b]
+    n = max(1, len(b))
+    words, lower = re.findall(rb"[^ \t\n\x0b\x0c\r]+", b), [w.lower() for w in re.findall(rb"[^ \t\n\x0b\x0c\r]+", b)]
+    lines = [x for x in b.split(b"\n") if x]
+    w, pairs = max(1, len(words)), list(zip(lower, lower[1:], strict=False)) or lower
+    return [kinds.count(k) / n for k in range(12)] + [
+        math.log1p(len(b)), math.log1p(len(words)), sum(map(len, words)) / w, kinds.count(2) / max(1, kinds.count(1) + kinds.count(2)), len(set(lower)) / w,
+        sum(x == y for x, y in zip(lower, lower[1:], strict=False)) / w, len(set(pairs)) / max(1, len(words) - 1), len({x.lower() for x in lines}) / max(1, len(lines)),
+        len(words) / max(1, len(lines)), max(map(len, words), default=0), sum(len(x) <= 2 for x in words) / w,
+        sum(kind.get(x[-1], 0) in (7, 8, 9) for x in words) / w, max((lower.count(x) for x in set(lower)), default=0) / w,
+    ]
+
+
+def test_statistics_equal_brute_force():
+    rng = random.Random(5)
+    bits = ["the", "The", "a", "ab!", "x|", "9", " ", "\n", "\t", "é", "日本", "$$$", "end.", "\n\n", "a a", "|"]
+    texts = [*AWKWARD[:16], *[" ".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(60)]]
+    got = quality.statistics(pa.array(texts))
+    for t, row in zip(texts, got, strict=True):
+        assert np.allclose(row, brute_statistics(t)), t
+
+
+def test_a_labelled_id_that_repeats_is_one_row(spark):
+    i, j, k = [x for x in range(20) if zlib.crc32(str(x).encode()) % 4 != 2][:3]
+    docs = spark.range(4000).select(F.lit(i).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")).unionByName(spark.createDataFrame([(j, "!!! $$$"), (k, "???")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, 1), (j, 0), (k, 0)], "doc_id long, quality int")
+    seen = []
+    own = quality.fit_forest
+    quality.fit_forest = lambda x, y, **k: seen.append((len(x), y.tolist())) or own(x, y, **k)
+    try:
+        quality.fit_quality(docs, labels)
+    finally:
+        quality.fit_forest = own
+    assert seen == [(3, [1.0, 0.0, 0.0])]
+
+
+def test_a_score_at_the_threshold_is_predicted(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    got = quality.score_quality(docs, spark.createDataFrame([], "doc_id long, quality int"), threshold=0.5).collect()
+    assert [(r.score, r.predicted) for r in got] == [(0.5, 1), (0.5, 1)]
+
+
+def test_very_long_texts(spark, encode):
+    """A text of some millions of characters among short ones, through the operators that take whole texts."""
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(400_000))
+    near = long + " tail"
+    d = spark.createDataFrame([(0, long, "en"), (1, near, "en"), (2, "short text", "en"), (3, "x" * 200_000, "en"), (4, None, None)], "doc_id long, text string, lang string")
+    assert len(long) > 2_000_000
+    got = {r.doc_id: r for r in minhash_dedup.duplicate_classes(d, k=5).collect()}
+    assert got[1].component_id == 0 and got[2].kept and got[0].n_shingles > 390_000
+    labels = spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, quality int")
+    assert quality.score_quality(d, labels).count() == 5
+    assert {r.doc_id: r.lang_pred for r in language.identify_language(d).collect()}[4] == "und"
+    bench = spark.createDataFrame([(7, " ".join(long.split()[200_000:200_040]))], "item_id long, text string")
+    hits = {r.doc_id: r.n_hit for r in decontamination.contamination(d, bench).collect()}
+    assert hits[0] >= 40 and hits[1] == hits[0] and hits[2] == 0
+    scan = {r.doc_id: r.n_words for r in license_scan.scan_licenses(d).collect()}
+    assert scan[0] == 400_000 and scan[3] == 1
+
+
+def brute_detections(text, rules):
+    """Intervals of words of every rule's matches, and those that no interval of equal or higher priority contains."""
+    w = " ".join(LOOSE.findall(ascii_lower(text)))
+    found = []
+    for k, r in enumerate(rules):
+        if r.keyword.lower() in w.lower():
+            for m in re.finditer(f"(?i)(?<![^ ])(?:{r.pattern})(?![^ ])", w):
+                start = len(w[: m.start()].split())
+                found.append((start, start + len(m[0].split()), r.priority, k))
+    stay = []
+    for a, z, p, k in found:
+        hidden = any(q <= p and x <= a and z <= y and ((x, -y, q, j) < (a, -z, p, k)) for x, y, q, j in found)
+        if rules[k].base or not hidden:
+            stay.append((a, z, rules[k].label))
+    return sorted(stay)
+
+
+def test_priority_and_containment_equal_brute_force(spark):
+    rng = random.Random(9)
+    bits = [
+        "licensed under the MIT License", "under the mit license", "Apache License, Version 2.0", "cc by nc", "CC BY-NC-SA 4.0", "GNU Lesser General Public License v2.1", "GPL v3", "word", "and",
+        "all rights reserved", "copyright 2020", "mpl 2.0", "Mozilla Public License", "license", "under the terms of the BSD 3-Clause license", "lgpl", "attribution noncommercial 4.0", "SPDX-License-Identifier: MIT",
+    ]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(1, 9))) for _ in range(250)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rules = license_scan.rules()
+    got = {r.doc_id: sorted((x.start, x.end, x.label) for x in r.detections) for r in license_scan.scan_licenses(d).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute_detections(t, rules), t
+
+
+def test_rules_of_the_caller_change_nothing_else(spark):
+    texts = ["attribution noncommercial 4 0", "it's the Foo's license, not 'bar'", "nothing", "under the mit license", "quux says"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    extra = [license_scan.Rule(5, "it's \\ 'foo'", 0.5, "FOO", r"foo s licen[sc]e"), license_scan.Rule(5, "quux", 0.4, "quux", "quux says")]
+    plain = {r.doc_id: r.labels for r in license_scan.scan_licenses(d).collect()}
+    more = {r.doc_id: r.labels for r in license_scan.scan_licenses(d, extra=extra).collect()}
+    assert plain[0] == "cc-by-nc" and plain[1] == plain[2] == plain[4] == ""
+    assert more == plain | {1: "it's \\ 'foo'", 4: "quux"}
+
+
+def test_tokens_of_fields_of_odd_rows(spark, encode):
+    rows = [(1, "a b", None, "c"), (1, "a b", None, "c"), (None, "", "", ""), (2, None, None, None), (3, "word " * 5000, "x", "<|endoftext|>")]
+    d = spark.createDataFrame(rows, "k long, id string, field string, f0 string")
+    got = attribution.tokens_by_field(d, "k", ["id", "field", "f0"]).collect()
+    assert len(got) == 3 * len(rows)
+    for rule in attribution.RULES:
+        total = {r.id: r.n for r in attribution.tokens_by_field(d.dropDuplicates(), "k", ["id", "field", "f0"], rule=rule).groupBy("id").agg(F.sum("n_tokens").alias("n")).collect()}
+        assert total == {k: len(encode("\n".join(x or "" for x in rest)).ids) for k, *rest in rows}
+    assert attribution.tokens_by_field(d.limit(0), "k", ["id"]).count() == 0
+    with pytest.raises(ValueError):
+        attribution.tokens_by_field(d, "k", ["id"], rule="any")
