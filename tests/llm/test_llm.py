@@ -469,7 +469,7 @@ def test_pages(spark, sf_dir):
 
     for r in queries.op5_html_extraction(spark, sf_dir).collect():
         body = re.search(r"<article>(.*?)(</article>|\Z)", pages[r.page_id], re.S)[1]
-        parts = (" ".join(h.unescape(re.sub(r"<[^>]*>", "", p)).split()) for p in re.split(r"</?(?:p|h1)>|<br>", body))
+        parts = (" ".join(h.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", body))
         assert r.text == "\n".join(p for p in parts if p)
 
 
@@ -964,3 +964,56 @@ def test_tokens_of_fields_of_odd_rows(spark, encode):
     assert attribution.tokens_by_field(d.limit(0), "k", ["id"]).count() == 0
     with pytest.raises(ValueError):
         attribution.tokens_by_field(d, "k", ["id"], rule="any")
+
+
+SENTENCES = "".join(f"<p>Sentence number {i} of the text, which goes on for a while and ends here.</p>" for i in range(20))
+
+
+@pytest.mark.parametrize("opened", ['<article class="post tags-news">', '<div class="post has-sidebar">', '<div class="story share-story">', "<div>", '<section id="mainContent">', '<div class="modal">'])
+def test_no_name_of_an_article_deletes_it(opened):
+    page = f"<body><nav><a href=x>Home</a></nav>{opened}<h1>The title</h1>{SENTENCES}</{opened[1:].split()[0].rstrip('>')}><footer>&copy; us</footer>"
+    assert html_extract.extract(page) == "The title\n" + "\n".join(re.findall("<p>(.*?)</p>", SENTENCES))
+
+
+@pytest.mark.parametrize("name", ["user-thread", "comments", "comment-list", "readerComments", "discussion"])
+def test_reader_comments_go(name):
+    inner = "<p>I think this is a great piece, thanks. Really, I do.</p><div>So do I, and I read it twice.</div>"
+    for page in (f'<div class="post">{SENTENCES}</div><div class="{name}">{inner}</div>', f'<article>{SENTENCES}<section id="{name}">{inner}</section></article>'):
+        assert html_extract.extract(page).count("\n") == 19 and "great" not in html_extract.extract(page)
+
+
+def test_markup_never_gets_into_the_text():
+    body = "Hello there, this is the text of the page. It has commas, and stops."
+    for tag in ('<p title="x>', "<p title='x>", '<p title="a > b">', '<p title="x>y" class=z>', "<p title=it's>", '<p title="x"class="y">', "<p a=\"1' b='2\">"):
+        assert html_extract.extract(f"<h1>A title</h1>{tag}{body}</p><p class=\"b\">And more of it, yes.</p>") == f"A title\n{body}\nAnd more of it, yes.", tag
+    assert html_extract.extract(f"<p>{body}<br>A line, after a break.</p>") == f"{body} A line, after a break."
+
+
+def test_edges_change_labels_for_the_better():
+    """On layouts that the fit hasn't seen: blocks that the cut labels right against the sign of their own cost."""
+    from strandweave.llm import fit_html
+
+    made = fit_html.Layouts(4242)
+    sign = cut = pages = total = 0
+    for _ in range(600):
+        found = html_extract.blocks(made.page())
+        labels, truth = html_extract.min_cut([b.margin for b in found], html_extract.edges_of(found)), [fit_html.CONTENT in b.text for b in found]
+        own = [b.margin > 0 for b in found]
+        sign, cut, pages, total = sign + sum(map(int.__ne__, own, truth)), cut + sum(map(int.__ne__, labels, truth)), pages + (own != labels), total + len(found)
+    assert pages >= 20 and cut < 0.85 * sign and cut < 0.015 * total
+
+
+def test_shipped_weights_are_those_of_the_fit():
+    from strandweave.llm import fit_html
+
+    x, y = fit_html.samples(4000)
+    assert np.allclose(fit_html.fit(x, y), html_extract.WEIGHTS, atol=0.006)
+
+
+def test_odd_pages(spark):
+    rows = [(1, "u", f"<p>{'word, ' * 40}</p>"), (1, "u", f"<p>{'word, ' * 40}</p>"), (1, None, "<p>other text, of the same id. Yes.</p>"), (None, None, None), (2, "v", "<div>" * 20_000 + SENTENCES * 40 + "</div>" * 20_000)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n_chars", F.lit("clash"))
+    got = html_extract.main_text(d).collect()
+    assert len(got) == 5 and sorted(r.n_chars for r in got if r.page_id == 1)[1:] == [239, 239] and next(r for r in got if r.page_id == 2).text.count("\n") == 799
+    # blocks of equal cost on both sides are boilerplate, and labels don't depend on repeats
+    assert html_extract.min_cut([0.0, 0.0], [(0, 1, 1.0)]) == [False, False]
