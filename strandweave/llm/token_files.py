@@ -40,7 +40,7 @@ _DOC_COLUMNS = (("doc", "<i8"), ("null", "u1"), ("count", "<u8"))
 class FrameWriter:
     """Writes documents to a binary file object in the order in which they are added."""
 
-    def __init__(self, out, frame_ids: int = 1, level: int = 3):
+    def __init__(self, out, frame_ids: int = 1, level: int = 1):
         self.out, self.frame_ids, self.at, self.held = out, frame_ids, 0, 0
         self.pack = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.parts: list[bytes] = []
@@ -49,8 +49,9 @@ class FrameWriter:
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         self.parts.append(ids)
-        for name, x in (("doc", doc_id or 0), ("null", doc_id is None), ("count", len(ids) // 4)):
-            self.docs[name].append(x)
+        self.docs["doc"].append(doc_id or 0)
+        self.docs["null"].append(doc_id is None)
+        self.docs["count"].append(len(ids) // 4)
         self.held += len(ids) // 4
         if self.held >= self.frame_ids:
             self._flush()
@@ -61,8 +62,8 @@ class FrameWriter:
         raw = b"".join(self.parts)
         packed = self.pack.compress(raw)
         self.out.write(packed)
-        for name, x in (("offset", self.at), ("packed", len(packed)), ("raw", len(raw)), ("crc32", zlib.crc32(raw)), ("docs", len(self.parts))):
-            self.frames[name].append(x)
+        for column, x in zip(self.frames.values(), (self.at, len(packed), len(raw), zlib.crc32(raw), len(self.parts)), strict=True):
+            column.append(x)
         self.at += len(packed)
         self.parts, self.held = [], 0
 
@@ -88,7 +89,8 @@ class FrameReader:
             raise ValueError("not a token file, or cut short")
         (size,) = struct.unpack("<Q", tail[:8])
         source.seek(end - 16 - size)
-        raw = zstandard.ZstdDecompressor().decompress(source.read(size))
+        self.unpack = zstandard.ZstdDecompressor()
+        raw = self.unpack.decompress(source.read(size))
         n_frames, n_docs = struct.unpack("<QQ", raw[:16])
         at = 16
         self.columns: dict[str, np.ndarray] = {}
@@ -101,7 +103,7 @@ class FrameReader:
 
     def _frame(self, f: dict) -> bytes:
         self.source.seek(f["offset"])
-        raw = zstandard.ZstdDecompressor().decompress(self.source.read(f["packed"]), max_output_size=max(1, f["raw"]))
+        raw = self.unpack.decompress(self.source.read(f["packed"]), max_output_size=max(1, f["raw"]))
         if len(raw) != f["raw"] or zlib.crc32(raw) != f["crc32"]:
             raise ValueError(f"frame at {f['offset']} is damaged")
         return raw
@@ -113,12 +115,16 @@ class FrameReader:
         keep = np.ones(len(docs), bool) if wanted is None else np.isin(docs, np.array(sorted({x for x in wanted if x is not None}), np.int64)) & ~null
         asked = np.flatnonzero(keep)
         frame_of = np.searchsorted(self.first, asked, "right") - 1
-        opened, raw = -1, b""
-        for i, k in zip(asked.tolist(), frame_of.tolist(), strict=True):
-            if k != opened:
-                opened, raw = k, self._frame({name: int(self.columns[name][k]) for name, _ in _FRAME_COLUMNS})
-            a = int(self.starts[i]) - int(self.starts[self.first[k]])
-            yield (None if null[i] else int(docs[i])), int(self.starts[i]), raw[4 * a : 4 * (a + int(self.columns["count"][i]))]
+        opened, raw, names = -1, b"", [name for name, _ in _FRAME_COLUMNS]
+        for low in range(0, len(asked), 4096):
+            at, of = asked[low : low + 4096], frame_of[low : low + 4096]
+            places = zip(*(self.columns[name][of].tolist() for name in names), strict=True)
+            starts, within = self.starts[at], self.starts[at] - self.starts[self.first[of]]
+            rows = zip(of.tolist(), docs[at].tolist(), null[at].tolist(), starts.tolist(), within.tolist(), self.columns["count"][at].tolist(), places, strict=True)
+            for k, doc, is_null, start, a, n, place in rows:
+                if k != opened:
+                    opened, raw = k, self._frame(dict(zip(names, place, strict=True)))
+                yield (None if is_null else doc), start, raw[4 * a : 4 * (a + n)]
 
     def documents(self, wanted: Iterable[int] | None = None) -> Iterator[tuple[int | None, bytes]]:
         """(doc_id, ids) in file order, as by places."""
