@@ -79,14 +79,14 @@ class Loop:
             self.reasons.setdefault(event, reason)
 
 
-def forbid_and_release(loop: Loop, forbidden: dict[object, set[int]], fails: Callable[[set[int]], set[object]], reason: str, rounds: int = 100) -> Loop:
+def forbid_and_release(loop: Loop, forbidden: dict[object, set[int]], fails: Callable[[set[int]], set[object]], reason: str) -> Loop:
     """Drops all forbidden columns, refits, and gives back the sides that then fail, until none does.
 
     forbidden: side -> columns; fails(active) -> sides whose chromosomes no longer fit.
     """
     live = dict(forbidden)
     whole = set(loop.active)
-    for _ in range(rounds):
+    while True:
         gone = set().union(*live.values()) if live else set()
         back = fails(whole - gone) & set(live)
         if not back:
@@ -94,17 +94,16 @@ def forbid_and_release(loop: Loop, forbidden: dict[object, set[int]], fails: Cal
             for side in live:
                 loop.reasons.setdefault(side, reason)
             return loop
-        for side in back:
+        for side in back:  # so there are at most as many rounds as sides
             del live[side]
-    return loop
 
 
-def accumulate_failures(loop: Loop, candidates: dict[object, set[int]], chroms: dict[object, set[str]], fails: Callable[[set[int]], set[str]], reason: str, rounds: int = 100) -> Loop:
+def accumulate_failures(loop: Loop, candidates: dict[object, set[int]], chroms: dict[object, set[str]], fails: Callable[[set[int]], set[str]], reason: str) -> Loop:
     """Drops candidates that touch no failed chromosome; chromosomes that then fail are added, until none is new."""
     failed: set[str] = set()
     whole = set(loop.active)
     drop: list[object] = []
-    for _ in range(rounds):
+    while True:
         drop = [e for e in candidates if not (chroms.get(e, set()) & failed)]
         gone = set().union(*(candidates[e] for e in drop)) if drop else set()
         new = fails(whole - gone) - failed
@@ -148,18 +147,17 @@ def swap_plan(eligible: dict[object, set[int]], fragments: dict[str, int], chrom
     return on, off, used
 
 
-def swap_until_accepted(plan_for: Callable[[set[object]], tuple[set[int], set[int], set[object]]], events: set[object], rejected_by: Callable[[set[int], set[int]], set[object]], rounds: int = 100):
+def swap_until_accepted(plan_for: Callable[[set[object]], tuple[set[int], set[int], set[object]]], events: set[object], rejected_by: Callable[[set[int], set[int]], set[object]]):
     """Plans and tests a swap, leaves out the events that fail it, and plans anew, until it holds or nothing is left."""
     live = set(events)
-    for _ in range(rounds):
+    while True:
         on, off, used = plan_for(live)
         if not used:
             return set(), set(), set()
         bad = rejected_by(on, off) & used
         if not bad:
             return on, off, used
-        live -= bad
-    return set(), set(), set()
+        live -= bad  # so there are at most as many rounds as events
 
 
 def rescue_first(scores: DataFrame) -> DataFrame:

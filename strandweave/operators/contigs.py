@@ -13,10 +13,8 @@ from strandweave.operators.range_join import range_join
 def clean_failed_layout(windows: DataFrame, excluded: DataFrame, on: list[str], value: str, factor: float = 3.0, width: int = 1_000_000) -> DataFrame:
     """windows with is_failed: value above factor x median, or contained in an excluded interval; order (is_failed, row_id)."""
     mid = windows.agg((F.median(value) * factor).alias("_limit"))
-    inside = range_join(windows, excluded, on, "contained", width, how="left_semi").withColumn("_in", F.lit(True))
-    beside = range_join(windows, excluded, on, "contained", width, how="left_anti").withColumn("_in", F.lit(False))
-    d = inside.unionByName(beside).crossJoin(F.broadcast(mid))  # mid: one row
-    return d.withColumn("is_failed", (F.col(value) > F.col("_limit")) | F.col("_in")).drop("_limit", "_in")
+    d = range_join(windows, excluded, on, "contained", width, how="left_flag").crossJoin(F.broadcast(mid))  # mid: one row
+    return d.withColumn("is_failed", (F.col(value) > F.col("_limit")) | F.col("matched")).drop("_limit", "matched")
 
 
 def multi_end_contigs(nodes: DataFrame, window: int = 500_000) -> DataFrame:
@@ -276,7 +274,7 @@ def fragment_direction_ok(chrom_dir: Column, strand: Column, end: Column) -> Col
     return norm == F.when(chrom_dir, "-").otherwise("+")
 
 
-def telomere_choice(candidates: DataFrame, by: str, distance: str, length: str, final_within: int = 10_000, collapse_within: int = 500_000, apart: int = 100_000) -> DataFrame:
+def telomere_choice(candidates: DataFrame, by: str, distance: str, length: str, collapse_within: int = 500_000, apart: int = 100_000) -> DataFrame:
     """Telomere attachments kept at each end: the nearest one; of those within `collapse_within` only the most distal,
     of equal ones the shorter contig; and further ones unless within `apart` of one that is kept already."""
     from strandweave.operators.leaders import greedy_leaders

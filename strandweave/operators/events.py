@@ -139,47 +139,106 @@ def resolve_mates(records: DataFrame) -> DataFrame:
     return keep.select("first", "second")
 
 
-def normalise_breakends(records: DataFrame, caller: str | None = None, version: tuple[int, ...] | None = None, min_span: int = 100_000, filters: tuple[str, ...] = ("PASS", ".")) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: What STRANDS of a breakend may say.
+STRANDS = ("++", "--", "+-", "-+")
+#: The first version of severus whose breakend alleles are in the order of their records.
+SEVERUS_FIXED = (1, 7)
+
+
+def _directed(b: DataFrame, caller: str | None, version: tuple[int, ...] | None) -> DataFrame:
+    """b with directions as meant, and `fault` where they can't be known.
+
+    Severus before 1.7 wrote the alleles of breakends with different strands the other way round at both ends; its
+    STRANDS tells which these are. Without its version no breakend can be read.
+    """
+    none = F.lit(None).cast("string")
+    if caller != "severus":
+        return b.withColumn("fault", none)
+    if version is None:
+        return b.withColumn("fault", F.lit("version_unknown"))
+    if V.padded(version) >= V.padded(SEVERUS_FIXED):
+        return b.withColumn("fault", none)
+    mixed = F.col("strands").isin("+-", "-+")
+    for side in ("dir_a", "dir_b"):
+        b = b.withColumn(side, F.when(mixed, S.invert(F.col(side))).otherwise(F.col(side)))
+    return b.withColumn("fault", F.when(~F.coalesce(F.col("strands").isin(*STRANDS), F.lit(False)), "strands_missing"))
+
+
+def normalise_breakends(
+    records: DataFrame,
+    caller: str | None = None,
+    version: tuple[int, ...] | None = None,
+    min_span: int = 100_000,
+    filters: tuple[str, ...] = ("PASS", "."),
+    lengths: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(junctions, indels, skipped) of variant records (line, chr, pos, id, alt, filter, info).
 
     BND pairs give one junction, from the first record's ALT; where both lie on one chromosome with one direction the
-    pair is a front jump (deletion) or back jump of at least min_span instead. DEL and DUP take their END, INS its
-    SVLEN. A pair of which a member fails the filter goes as a whole, the other as mate_filtered. Severus before 1.7
-    wrote the second direction inverted; without a version its breakends are skipped.
+    pair is a front jump (deletion) or back jump of at least min_span instead. INV gives the junctions of its two ends (or
+    for manta the one that INV3 or INV5 names), with role left or right. DEL and DUP take their END, INS its SVLEN.
+
+    A record is skipped, with its mate, for the first reason that holds: filtered (a member fails the filter; the other
+    member is mate_filtered), contig_absent (a chromosome that lengths (chr, len) lacks, if given), version_unknown or
+    strands_missing (severus, see _directed), mate_direction (the alleles of two mates aren't each other's reverse),
+    small, no_end, what inversion_junctions says, single_breakend, malformed (a BND without readable allele), unsupported.
     """
+    from strandweave.operators.junctions import inversion_junctions
+
     info = records.withColumn("m", V.info_map(F.col("info")))
     info = info.withColumn("svtype", F.upper(F.coalesce(F.col("m")["SVTYPE"], F.regexp_extract("alt", "^<([A-Za-z]+)", 1)))).withColumn("a", V.breakend_alt(F.col("alt")))
     info = info.withColumn("svtype", F.when(F.col("a").isNotNull(), "BND").otherwise(F.col("svtype"))).withColumn("ok", F.col("filter").isin(list(filters)))
-    b = info.where("svtype = 'BND' and a is not null").select("line", "id", "chr", "pos", "ok", F.split(F.coalesce(F.col("m")["MATEID"], F.col("m")["MATE_ID"]), ",")[0].alias("mate_id"), "a.*")
-    if caller == "severus" and version is not None and V.version_before(version, (1, 7)):
-        b = b.withColumn("dir_b", S.invert(F.col("dir_b")))
-    unusable = caller == "severus" and version is None
+    known = None
+    if lengths is not None:
+        known = lengths.select("chr").distinct()  # a row per chromosome
+        info = info.join(F.broadcast(known.withColumn("_here", F.lit(True))), "chr", "left").withColumn("here", F.coalesce("_here", F.lit(False))).drop("_here")
+    else:
+        info = info.withColumn("here", F.lit(True))
+    b = info.where("svtype = 'BND' and a is not null")
+    b = b.select("line", "id", "chr", "pos", "ok", "here", F.split(F.coalesce(F.col("m")["MATEID"], F.col("m")["MATE_ID"]), ",")[0].alias("mate_id"), F.col("m")["STRANDS"].alias("strands"), "a.*")
+    if known is not None:
+        b = b.join(F.broadcast(known.select(F.col("chr").alias("mate_chr"), F.lit(True).alias("_there"))), "mate_chr", "left").withColumn("here", F.col("here") & F.coalesce("_there", F.lit(False))).drop("_there")
     pairs = resolve_mates(b)
-    second = b.select(F.col("line").alias("second"), F.col("ok").alias("ok2"))
+    b = _directed(b, caller, version)
+    second = b.select(F.col("line").alias("second"), *[F.col(c).alias(f"{c}2") for c in ("ok", "here", "fault", "dir_a", "dir_b")])
     p = b.join(pairs, b["line"] == pairs["first"]).join(second, "second")
-    lone = b.join(pairs.select(F.explode(F.array("first", "second")).alias("line")), "line", "left_anti").withColumn("second", F.lit(None).cast(b.schema["line"].dataType)).withColumn("ok2", F.lit(True))
-    cols = ["line", "second", "id", "chr", "pos", "mate_chr", "mate_pos", "dir_a", "dir_b", "ok", "ok2"]
-    every = p.select(cols).unionByName(lone.select(cols))
-    skip = F.when(F.lit(unusable), "version_unknown").when(~F.col("ok"), "filtered").when(~F.col("ok2"), "mate_filtered")
-    every = every.withColumn("skip", skip)
+    lone = b.join(pairs.select(F.explode(F.array("first", "second")).alias("line")), "line", "left_anti")
+    every = p.drop("first").unionByName(lone, allowMissingColumns=True)
+    paired = F.col("second").isNotNull()
+    turned = paired & ((F.col("dir_a2") != S.invert(F.col("dir_b"))) | (F.col("dir_b2") != S.invert(F.col("dir_a"))))
     same = (F.col("chr") == F.col("mate_chr")) & (F.col("dir_a") == F.col("dir_b"))
-    span = F.abs(F.col("mate_pos") - F.col("pos"))
-    every = every.withColumn("skip", F.when(F.col("skip").isNull() & same & (span < min_span), "small").otherwise(F.col("skip")))
+    skip = (
+        F.when(~F.col("ok"), "filtered").when(paired & ~F.col("ok2"), "mate_filtered").when(~F.col("here") | (paired & ~F.col("here2")), "contig_absent")
+        .when(F.coalesce("fault", "fault2").isNotNull(), F.coalesce("fault", "fault2")).when(turned, "mate_direction").when(same & (F.abs(F.col("mate_pos") - F.col("pos")) < min_span), "small")
+    )
+    every = every.withColumn("skip", skip)
     live = every.where("skip is null")
-    junctions = live.where(~same).select("line", "second", "id", "chr", "pos", "dir_a", "mate_chr", "mate_pos", "dir_b")
+    none = F.lit(None).cast("string")
+    junctions = live.where(~same).select("line", "second", "id", "chr", "pos", "dir_a", "mate_chr", "mate_pos", "dir_b", none.alias("role"))
     front = ((F.col("dir_a") == "+") & (F.col("pos") < F.col("mate_pos"))) | ((F.col("dir_a") == "-") & (F.col("pos") > F.col("mate_pos")))
     jumps = live.where(same).select("line", "id", F.lit("BND").alias("svtype"), F.when(front, "front_jump").otherwise("back_jump").alias("event_type"), "chr", F.least("pos", "mate_pos").alias("st"), F.greatest("pos", "mate_pos").alias("nd"))
-    other = info.where("svtype in ('DEL', 'DUP', 'INS')").withColumn("end", V.optional_int(F.col("m")["END"])).withColumn("len", F.abs(V.optional_int(F.col("m")["SVLEN"])))
+    other = info.where("svtype in ('DEL', 'DUP', 'INS', 'INV')").withColumn("end", V.optional_int(F.col("m")["END"])).withColumn("len", F.abs(V.optional_int(F.col("m")["SVLEN"])))
     nd = F.when(F.col("svtype") == "INS", F.col("pos") + F.col("len")).otherwise(F.col("end"))
-    other = other.withColumn("nd", nd).withColumn("skip", F.when(~F.col("ok"), "filtered").when(F.col("nd").isNull(), "no_end").when(F.col("nd") - F.col("pos") < min_span, "small"))
+    small = (F.col("svtype") != "INV") & (F.col("nd") - F.col("pos") < min_span)
+    other = other.withColumn("nd", nd).withColumn("skip", F.when(~F.col("ok"), "filtered").when(~F.col("here"), "contig_absent").when(F.col("nd").isNull(), "no_end").when(small, "small"))
     kind = F.when(F.col("svtype") == "DEL", "front_jump").otherwise("back_jump")
-    simple = other.where("skip is null").select("line", "id", "svtype", kind.alias("event_type"), "chr", F.col("pos").alias("st"), "nd")
-    gone = every.where("skip is not null").select("line", F.col("skip").alias("reason")).unionByName(
-        every.where("skip = 'filtered' and second is not null").select(F.col("second").alias("line"), F.when(F.col("ok2"), "mate_filtered").otherwise("filtered").alias("reason"))
-    ).unionByName(other.where("skip is not null").select("line", F.col("skip").alias("reason")))
-    rest = info.where("svtype is null or svtype not in ('BND', 'DEL', 'DUP', 'INS') or (svtype = 'BND' and a is null)")
-    why = F.when(V.is_single_breakend(F.col("alt")), "single_breakend").otherwise("unsupported")
-    return junctions, jumps.unionByName(simple), gone.unionByName(rest.select("line", why.alias("reason")))
+    simple = other.where("skip is null and svtype <> 'INV'").select("line", "id", "svtype", kind.alias("event_type"), "chr", F.col("pos").alias("st"), "nd")
+    turns, unread = inversion_junctions(other.where("skip is null and svtype = 'INV'").select("line", "chr", "pos", "end", "m"), caller)
+    turns = turns.join(info.select("line", "id"), "line").withColumn("second", F.lit(None).cast(records.schema["line"].dataType))
+    gone = every.where("skip is not null").select("line", F.col("skip").alias("reason"))
+    mates = F.when(F.col("skip") == "filtered", F.when(F.col("ok2"), "mate_filtered").otherwise("filtered")).when(F.col("skip") == "mate_filtered", "filtered").otherwise(F.col("skip"))
+    gone = gone.unionByName(every.where(F.col("skip").isNotNull() & paired).select(F.col("second").alias("line"), mates.alias("reason")))
+    gone = gone.unionByName(other.where("skip is not null").select("line", F.col("skip").alias("reason"))).unionByName(unread)
+    rest = info.where("svtype is null or svtype not in ('BND', 'DEL', 'DUP', 'INS', 'INV') or (svtype = 'BND' and a is null)")
+    why = F.when(V.is_single_breakend(F.col("alt")), "single_breakend").when(F.col("svtype") == "BND", "malformed").otherwise("unsupported")
+    return junctions.unionByName(turns.select(junctions.columns)), jumps.unionByName(simple), gone.unionByName(rest.select("line", why.alias("reason")))
+
+
+def check_contigs(header: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Header contigs (chr, len) that the reference (chr, len) lacks; a length that differs is an error at run time."""
+    d = header.join(F.broadcast(lengths.select("chr", F.col("len").alias("_len"))), "chr", "left")  # a row per chromosome
+    bad = F.raise_error(F.concat(F.lit("contig length differs: "), F.col("chr"))).cast("boolean")
+    return d.where(F.when(F.col("len") != F.col("_len"), bad).otherwise(F.col("_len").isNull())).select("chr", "len")
 
 
 def graph_events(indels: DataFrame) -> DataFrame:
@@ -219,8 +278,9 @@ def indel_calls(merged: DataFrame, unit: float, least_weight: float, least_span:
 
 
 def amplicon_calls(circuits: DataFrame, weights: DataFrame, unit: float, least_weight: float) -> DataFrame:
-    """Span of each circuit (circuit, chr, st, nd per node) with its copy number, twice its weight over the unit."""
-    g = circuits.groupBy("circuit").agg(F.min("chr").alias("chr"), F.min("st").alias("st"), F.max("nd").alias("nd"))
+    """Span of each circuit (circuit, chr, st, nd per node) on each of its chromosomes, with the circuit's copy number,
+    twice its weight over the unit."""
+    g = circuits.groupBy("circuit", "chr").agg(F.min("st").alias("st"), F.max("nd").alias("nd"))
     return g.join(weights, "circuit").where(F.col("weight") > least_weight).withColumn("cn", F.col("weight") / unit * 2)
 
 

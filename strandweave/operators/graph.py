@@ -5,24 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.operators.components import connected_components
 from strandweave.runtime import cut
 
 FOR, BAK, OUT, IN = 0, 1, 2, 3
 
-#: How two junction ends connect: roles and strands of i and j, condition on starts and ends, two edges.
-CONNECT = (
-    ("f+", "f-", "s_i > s_j", ("BAK i", "FOR j"), ("BAK j", "FOR i")),
-    ("f+", "b+", "s_i > e_j", ("FOR j", "FOR i"), ("BAK i", "BAK j")),
-    ("b+", "b-", "e_j > e_i", ("FOR i", "BAK j"), ("FOR j", "BAK i")),
-    ("b+", "f+", "s_j > e_i", ("BAK j", "BAK i"), ("FOR i", "FOR j")),
-    ("f-", "f+", "s_j > s_i", ("BAK i", "FOR j"), ("BAK j", "FOR i")),
-    ("f-", "b-", "e_j > s_i", ("FOR j", "FOR i"), ("BAK i", "BAK j")),
-    ("b-", "b+", "e_i > e_j", ("FOR i", "BAK j"), ("FOR j", "BAK i")),
-    ("b-", "f-", "e_i > s_j", ("BAK j", "BAK i"), ("FOR i", "FOR j")),
-)
-_CODE = {"FOR": FOR, "BAK": BAK, "OUT": OUT, "IN": IN}
-
-
 def junction_edges(junctions: DataFrame) -> DataFrame:
     """Both ways through each junction (a, b): FOR a to FOR b, and BAK b to BAK a."""
     e = F.array(
@@ -35,22 +22,25 @@ def junction_edges(junctions: DataFrame) -> DataFrame:
 def connectivity(ends: DataFrame, same_chromosome_only: bool = False) -> DataFrame:
     """Edges between junction ends (node, contig, role f/b, strand, chr, st, nd) of different contigs on one chromosome.
 
-    A pair of ends connects by its row of CONNECT when that row's condition holds or their spans overlap.
+    An end is open to one side of the reference: the front of a + row and the back of a - row to smaller positions, the
+    others to larger ones. It is open at st in front, at nd in back. Two ends connect when they face each other, the one
+    that is open upwards first, or when their spans overlap. A path leaves a front backwards and enters it forwards, and
+    the other way round at a back, so each pair gives two edges.
     same_chromosome_only: only junctions whose two ends share a chromosome take part (column same_chr).
     """
     d = ends.where("same_chr") if same_chromosome_only else ends
-    d = d.withColumn("kind", F.concat("role", "strand"))
-    i, j = (d.select(*[F.col(c).alias(f"{p}_{c}") for c in ("node", "contig", "kind", "chr", "st", "nd")]) for p in "ij")
-    pairs = i.join(j, (F.col("i_chr") == F.col("j_chr")) & (F.col("i_contig") < F.col("j_contig")))
-    names = {"s_i": "i_st", "e_i": "i_nd", "s_j": "j_st", "e_j": "j_nd"}
-    overlap = F.greatest("i_st", "j_st") < F.least("i_nd", "j_nd")
-    made = F.lit(None).cast("array<struct<src_dir:int,src:bigint,dst_dir:int,dst:bigint>>")
-    for ki, kj, cond, *edges in CONNECT:
-        left, right = cond.split(" > ")
-        ok = (F.col("i_kind") == ki) & (F.col("j_kind") == kj) & ((F.col(names[left]) > F.col(names[right])) | overlap)
-        both = F.array(*[F.struct(*[x for at, side in zip(("src", "dst"), e, strict=True) for x in (F.lit(_CODE[side.split()[0]]).alias(f"{at}_dir"), F.col(f"{side.split()[1]}_node").cast("long").alias(at))]) for e in edges])
-        made = F.when(ok, both).otherwise(made)
-    return pairs.select(F.explode(made).alias("e")).select("e.*").distinct()
+    front = F.col("role") == "f"
+    d = d.withColumn("up", front != (F.col("strand") == "+")).withColumn("at", F.when(front, F.col("st")).otherwise(F.col("nd")))
+    d = d.withColumn("leave", F.when(front, BAK).otherwise(FOR)).withColumn("enter", F.when(front, FOR).otherwise(BAK))
+    held = ("node", "contig", "st", "nd", "at", "leave", "enter")
+    low, high = (d.where(F.col("up") == up).select("chr", *[F.col(c).alias(f"{p}_{c}") for c in held]) for p, up in (("l", True), ("h", False)))
+    overlap = F.greatest("l_st", "h_st") < F.least("l_nd", "h_nd")
+    pairs = low.join(high, "chr").where((F.col("l_contig") != F.col("h_contig")) & ((F.col("h_at") > F.col("l_at")) | overlap))
+
+    def way(a: str, b: str) -> Column:
+        return F.struct(F.col(f"{a}_leave").alias("src_dir"), F.col(f"{a}_node").cast("long").alias("src"), F.col(f"{b}_enter").alias("dst_dir"), F.col(f"{b}_node").cast("long").alias("dst"))
+
+    return pairs.select(F.explode(F.array(way("l", "h"), way("h", "l"))).alias("e")).select("e.*").distinct()
 
 
 def telomere_edges(telomeres: DataFrame, ends: DataFrame) -> DataFrame:
@@ -205,15 +195,16 @@ def circuit_length(n: list[tuple[Column, Column]]) -> Column:
     return total
 
 
-def shortest_distances(edges: DataFrame, pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
+def shortest_distances(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(src, dst, dist) of pairs that are connected: relaxation from all their sources at once.
 
-    edges: src, dst, dist >= 0. Each round is written to the shared folder; it ends when no distance falls.
+    edges: src, dst, dist >= 0. Each round is written to the shared folder; it ends when no distance falls, after as many
+    rounds as the longest of the shortest paths has steps.
     """
     e = cut(edges.groupBy("src", "dst").agg(F.min("dist").alias("dist")), "edges")
     best = cut(pairs.select("src").distinct().select("src", F.col("src").alias("at"), F.lit(0.0).alias("d")), "best")
     front = best
-    for _ in range(max_rounds):
+    while True:
         step = front.join(e.select(F.col("src").alias("at"), F.col("dst").alias("to"), "dist"), "at").groupBy("src", F.col("to").alias("at")).agg(F.min(F.col("d") + F.col("dist")).alias("n"))
         better = step.join(best, ["src", "at"], "left").where("d is null or n < d").select("src", "at", F.col("n").alias("d"))
         front = cut(better, "front")
@@ -264,20 +255,10 @@ def step_keys(paths: DataFrame) -> DataFrame:
     return s.select("path_id", "step", F.explode(keys).alias("k")).select("path_id", "step", "k.*")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
-    """(id, component) of the ends of edges: the smallest id that each reaches, by rounds of labels and jumps."""
-    e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u is not null and v is not null").distinct(), "edges")
-    now = cut(e.select(F.col("u").alias("id")).distinct().withColumn("c", F.col("id")), "labels")
-    for _ in range(max_rounds):
-        seen = e.join(now, e["v"] == now["id"]).groupBy("u").agg(F.min("c").alias("m")).select(F.col("u").alias("id"), "m")
-        step = now.join(seen, "id", "left").select("id", "c", F.least("c", F.coalesce("m", "c")).alias("n"))
-        up = now.select(F.col("id").alias("n"), F.col("c").alias("nn"))
-        jumped = cut(step.join(up, "n", "left").select("id", "c", F.least("n", F.coalesce("nn", "n")).alias("n")), "labels")
-        changed = jumped.where("n <> c").limit(1).count()
-        now = jumped.select("id", F.col("n").alias("c"))
-        if not changed:
-            break
-    return now.select("id", F.col("c").alias("component"))
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component) of the ends of edges, those of self-edges too: the smallest id that each reaches."""
+    ends = edges.select(F.col(a).alias("id")).unionByName(edges.select(F.col(b).alias("id"))).where("id is not null").distinct()
+    return ends.join(connected_components(edges, a, b), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def recursive_paths_sql(spark: SparkSession, edges_view: str, max_steps: int) -> DataFrame:

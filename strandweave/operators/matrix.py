@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +54,62 @@ def gram(matrix: DataFrame) -> DataFrame:
     return a.join(b, "bin").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("vi") * F.col("vj")).alias("value"))
 
 
+#: Columns of a block of A^T A, and bytes of the dense rows of A that a task multiplies at a time.
+BLOCK, ROWS_BYTES = 512, 1 << 27
+
+
+def gram_blocks(matrix: DataFrame, columns: list[int]) -> DataFrame:
+    """A^T A as blocks (bi, bj, rows, cells: row-major doubles) with bi <= bj, over columns in the order given.
+
+    Tasks hold whole bins, put them together as dense rows and multiply; partial blocks are added up by block, pair by
+    pair. There are as many tasks as ROWS_BYTES go into A, but at least 8; each shuffles half of A^T A at most.
+    """
+    p = len(columns)
+    order = np.argsort(np.array(columns, np.int64), kind="stable")
+    known = np.array(columns, np.int64)[order]
+    lows = range(0, p, BLOCK)
+    most = max(1, ROWS_BYTES // (8 * max(p, 1)))
+    parts = max(8, -(-matrix.agg(F.approx_count_distinct("bin")).first()[0] // most))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        rows: dict[int, int] = {}
+        x = np.zeros((most, p))
+
+        def add() -> None:
+            dense = x[: len(rows)]
+            for a in lows:
+                for b in lows:
+                    if a <= b:
+                        got = dense[:, a : a + BLOCK].T @ dense[:, b : b + BLOCK]
+                        total[a, b] = total[a, b] + got if (a, b) in total else got
+
+        for batch in batches:
+            bins, cols = batch.column("bin").to_pylist(), order[np.searchsorted(known, batch.column("col").to_numpy())]
+            for k, c, v in zip(bins, cols.tolist(), batch.column("value").to_pylist(), strict=True):
+                if k not in rows:
+                    if len(rows) == most:  # bins come one after the other
+                        add()
+                        x[:] = 0
+                        rows.clear()
+                    rows[k] = len(rows)
+                x[rows[k], c] += v
+        if rows:
+            add()
+        for (a, b), cells in total.items():
+            yield pa.RecordBatch.from_pydict({"bi": [a // BLOCK], "bj": [b // BLOCK], "rows": [cells.shape[0]], "cells": pa.array([cells.tobytes()], pa.binary())})
+
+    def add_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(len(pdf["cells"].iloc[0]) // 8)
+        for cells in pdf["cells"]:
+            out += np.frombuffer(cells, "<f8")
+        return pd.DataFrame({"bi": [key[0]], "bj": [key[1]], "rows": pdf["rows"].iloc[:1].tolist(), "cells": [out.tobytes()]})
+
+    shape = "bi int, bj int, rows int, cells binary"
+    rows = matrix.select("bin", F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value")).repartition(parts, "bin").sortWithinPartitions("bin")
+    return rows.mapInArrow(multiply, "bi long, bj long, rows long, cells binary").select(F.col("bi").cast("int"), F.col("bj").cast("int"), F.col("rows").cast("int"), "cells").groupBy("bi", "bj").applyInPandas(add_up, shape)
+
+
 def right_side(matrix: DataFrame, target: DataFrame) -> DataFrame:
     """A^T b (col, value)."""
     return matrix.join(target.select("bin", F.col("value").alias("_t")), "bin").groupBy("col").agg(F.sum(F.col("value") * F.col("_t")).alias("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions.intervals import relation
+from strandweave.runtime import cut
 
 
 def _buckets(st: Column, nd: Column, width: int, closed: bool) -> Column:
@@ -27,7 +28,8 @@ def range_join(
 
     Column names of the two sides are distinct but for `on`. Both spans are spread over buckets of `width`
     positions and met in the first bucket they share, so the join is an equi-join that Spark can shuffle, split
-    where skewed, or broadcast. Spans with nd < st, or null, match nothing. how: inner, left, left_semi, left_anti.
+    where skewed, or broadcast. Spans with nd < st, or null, match nothing. how: inner, left, left_semi, left_anti, or
+    left_flag for all rows of left with `matched`; all but inner write left, numbered, to the shared folder.
     For kinds that look beyond touching ends, width bounds nothing: any width gives the same rows. A good width is
     about the usual span, so that few buckets are made.
     """
@@ -36,9 +38,9 @@ def range_join(
     rs, rn = (F.col(c) for c in right_span)
     a = left.where(ls <= ln)
     keyed = how != "inner"
-    if keyed:
-        left = left.withColumn("_lid", F.monotonically_increasing_id())
-        a = left.where(ls <= ln)
+    if keyed:  # numbers must be the same wherever left is read, so they are written with it
+        left = cut(left.withColumn("_lid", F.monotonically_increasing_id()), "left")
+        a = left.where(ls <= ln).select(*on, *left_span, "_lid")
     a = a.withColumn("_bucket", F.explode(_buckets(ls, ln, width, closed)))
     b = right.where(rs <= rn).withColumn("_bucket", F.explode(_buckets(rs, rn, width, closed)))
     first = F.greatest(F.floor(ls / width), F.floor(rs / width))
@@ -50,6 +52,8 @@ def range_join(
     if how == "left":
         extra = [c for c in right.columns if c not in on]
         return left.join(pairs.select("_lid", *extra), "_lid", "left").drop("_lid")
+    if how == "left_flag":
+        return left.join(pairs.select("_lid").distinct().withColumn("matched", F.lit(True)), "_lid", "left").drop("_lid").withColumn("matched", F.coalesce("matched", F.lit(False)))
     raise ValueError(f"unknown join type {how}")
 
 

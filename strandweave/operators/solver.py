@@ -25,8 +25,12 @@ class Normal:
     target_square: float
     rows: int
 
+    def places(self) -> dict[int, int]:
+        return {c: k for k, c in enumerate(self.columns)}
+
     def subset(self, keep: list[int]) -> "Normal":
-        at = [self.columns.index(c) for c in keep]
+        place = self.places()
+        at = [place[c] for c in keep]
         return Normal(list(keep), self.gram[np.ix_(at, at)], self.right[at], self.target_square, self.rows)
 
 
@@ -38,8 +42,11 @@ def normal_equations(matrix: DataFrame, target: DataFrame, max_columns: int = 12
         raise ValueError(f"more than {max_columns} columns")
     at = {c: k for k, c in enumerate(columns)}
     gram = np.zeros((len(columns), len(columns)))
-    for r in M.gram(m).toLocalIterator():
-        gram[at[r["i"]], at[r["j"]]] = gram[at[r["j"]], at[r["i"]]] = r["value"]
+    for r in M.gram_blocks(m, columns).toLocalIterator():
+        part = np.frombuffer(r["cells"], "<f8").reshape(r["rows"], -1)
+        i, j = r["bi"] * M.BLOCK, r["bj"] * M.BLOCK
+        gram[i : i + part.shape[0], j : j + part.shape[1]] = part
+        gram[j : j + part.shape[1], i : i + part.shape[0]] = part.T
     right = np.zeros(len(columns))
     for r in M.right_side(m, target).toLocalIterator():
         right[at[r["col"]]] = r["value"]
@@ -120,13 +127,14 @@ def removal_errors(spark: SparkSession, n: Normal, candidates: dict[str, list[in
 
     def solve(batches):
         eq, start = held.value
+        place = eq.places()
         for pdf in batches:
             out = []
             for cols in pdf["cols"]:
                 gone = set(map(int, cols))
                 keep = [c for c in eq.columns if c not in gone]
                 sub = eq.subset(keep)
-                out.append(squared_error(sub, bounded_least_squares(sub, start=start[[eq.columns.index(c) for c in keep]])))
+                out.append(squared_error(sub, bounded_least_squares(sub, start=start[[place[c] for c in keep]])))
             yield pdf.assign(error=out)[["candidate", "error"]]
 
     got = rows.repartition(max(1, min(len(candidates), 64))).mapInPandas(solve, "candidate string, error double")

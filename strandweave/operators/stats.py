@@ -7,10 +7,12 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.operators import ordered as O
+from strandweave.runtime import cut
 
 #: 0.75 quantile of the normal distribution.
 MAD_QUANTILE = 0.6744897501960817
@@ -114,7 +116,12 @@ def rank_sum_test(df: DataFrame, by: list[str], group: str, value: str) -> DataF
     n = n1 + n0
     g = g.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2).withColumn("_sd", F.sqrt(n1 * n0 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1)))))
     g = g.withColumn("z", (F.greatest(F.abs(F.col("u") - n1 * n0 / 2) - 0.5, F.lit(0.0))) / F.nullif(F.col("_sd"), F.lit(0.0)))
-    return g.select(*by, "n1", "n0", "u", "z")
+
+    @F.arrow_udf("double")
+    def two_sided(z: pa.Array) -> pa.Array:  # a row per group
+        return pa.array([None if x is None else min(1.0, math.erfc(x / math.sqrt(2))) for x in z.to_pylist()], pa.float64())
+
+    return g.select(*by, "n1", "n0", "u", "z").withColumn("p", two_sided("z"))
 
 
 def mann_whitney(a: np.ndarray, b: np.ndarray) -> float:
@@ -147,30 +154,33 @@ def mann_whitney(a: np.ndarray, b: np.ndarray) -> float:
     return float(min(1.0, math.erfc(z / math.sqrt(2))))
 
 
-def merge_splits(splits: list[float], windows: np.ndarray, excluded: list[tuple[float, float]], p_value: float = 0.01, least: int = 5) -> tuple[list[float], list[float]]:
-    """Splits that stay and splits merged away: a split goes when the windows at its two sides don't differ.
+def merge_splits(splits: DataFrame, windows: DataFrame, p_value: float = 0.01, least: int = 5) -> DataFrame:
+    """splits (chr, pos, fixed) with `merged`: whether the depths at the two sides of a split don't differ.
 
-    windows: rows (st, nd, depth) outside excluded intervals. Splits in excluded intervals always stay. The scan starts
-    anew after each merge.
+    windows: chr, st, nd, depth. The sides of a split reach to the splits that are left on its chromosome, or to its ends,
+    and a window that crosses a border counts at both. Each round tests all splits of all chromosomes at once and merges
+    the first one of each chromosome whose sides, of at least `least` windows each, are alike; rounds end when none is.
+    Fixed splits stay. Splits are few to a chromosome, so they are broadcast to the windows.
     """
-    active, gone = list(splits), []
-    end = windows[:, 1].max() if len(windows) else 0
-    k = 0
-    while k < len(active):
-        s = active[k]
-        k += 1
-        if any(a <= s < b for a, b in excluded):
-            continue
-        lo = active[k - 2] if k >= 2 else 0
-        hi = active[k] if k < len(active) else end
-        side = lambda x, y: windows[(windows[:, 1] > x) & (windows[:, 0] < y), 2]
-        left, right = side(lo, s), side(s, hi)
-        if len(left) >= least and len(right) >= least:
-            p = mann_whitney(left, right)
-            if p >= p_value and not math.isnan(p):
-                gone.append(active.pop(k - 1))
-                k = 0
-    return active, gone
+    every = splits.select("chr", F.col("pos").cast("double").alias("pos"), "fixed").distinct()
+    reach = windows.groupBy("chr").agg(F.max("nd").cast("double").alias("_end"))
+    open_ = cut(every.join(reach, "chr", "left"), "splits")
+    order = Window.partitionBy("chr").orderBy("pos")
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf.loc[pdf["below"], "depth"], pdf.loc[pdf["above"], "depth"]
+        p = mann_whitney(left, right) if len(left) >= least and len(right) >= least else float("nan")
+        return pd.DataFrame({"chr": pdf["chr"].iloc[:1], "pos": pdf["pos"].iloc[:1], "p": [p]})
+
+    while True:
+        spans = open_.withColumn("lo", F.coalesce(F.lag("pos").over(order), F.lit(0.0))).withColumn("hi", F.coalesce(F.lead("pos").over(order), "_end"))
+        near = windows.select("chr", "st", "nd", "depth").join(F.broadcast(spans.where("not fixed")), "chr").where("nd > lo and st < hi")
+        near = near.select("chr", "pos", (F.col("st") < F.col("pos")).alias("below"), (F.col("nd") > F.col("pos")).alias("above"), "depth")
+        alike = near.groupBy("chr", "pos").applyInPandas(test, "chr string, pos double, p double").where(f"not isnan(p) and p >= {p_value}")
+        gone = cut(alike.groupBy("chr").agg(F.min("pos").alias("pos")), "merged")
+        if not gone.limit(1).count():
+            return every.join(open_.select("chr", "pos", F.lit(False).alias("_open")), ["chr", "pos"], "left").select("chr", "pos", "fixed", F.col("_open").isNull().alias("merged"))
+        open_ = cut(open_.join(F.broadcast(gone), ["chr", "pos"], "left_anti"), "splits")
 
 
 def butterworth_highpass(x: np.ndarray, cutoff: float, rate: float, order: int = 3) -> np.ndarray:

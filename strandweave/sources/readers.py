@@ -10,17 +10,17 @@ from strandweave.functions import vcf_text as V
 from strandweave.operators.ordered import refuse
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and line (physical number from 0) of a text file.
+def _lines(spark: SparkSession, path: str, blocks: bool = False) -> DataFrame:
+    """value and line (physical number from 0) of a text file; blocks: its file and block as well, as _f and _b.
 
     Numbers come from the order of blocks in each file and the counts before them, so no line is gathered anywhere;
     an unsplittable (gzip) file is one block.
     """
     t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
-    blocks = t.groupBy("_f", "_b").agg(F.count("*").alias("_n"), F.min("_i").alias("_i0"))
+    counts = t.groupBy("_f", "_b").agg(F.count("*").alias("_n"), F.min("_i").alias("_i0"))
     w = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_f", "_b", "_i0", "_before")
-    return t.join(F.broadcast(blocks), ["_f", "_b"]).select("value", (F.col("_before") + F.col("_i") - F.col("_i0")).alias("line"))  # one row per file block
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_f", "_b", "_i0", "_before")
+    return t.join(F.broadcast(counts), ["_f", "_b"]).select(*(["_f", "_b"] if blocks else []), "value", (F.col("_before") + F.col("_i") - F.col("_i0")).alias("line"))  # one row per file block
 
 
 def read_depth(spark: SparkSession, path: str) -> DataFrame:
@@ -88,15 +88,22 @@ def read_lengths(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta_lengths(spark: SparkSession, path: str) -> DataFrame:
-    """Names and lengths counted from FASTA text; an empty or repeated name is an error at run time."""
-    t = _lines(spark, path).withColumn("head", F.col("value").startswith(">"))
-    starts = t.where("head").select("line", F.regexp_extract("value", r"^>\s*(\S*)", 1).alias("name"))
-    ahead = Window.orderBy("line")  # one row per sequence
-    starts = starts.withColumn("next", F.coalesce(F.lead("line").over(ahead), F.lit(1 << 62)))
+    """Names and lengths counted from FASTA text; an empty or repeated name is an error at run time.
+
+    Each line belongs to the last name before it: names are counted block by block, within a block in order, so that no
+    line meets another sequence's name.
+    """
+    t = _lines(spark, path, blocks=True).withColumn("head", F.col("value").startswith(">").cast("long"))
+    w = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = t.groupBy("_f", "_b").agg(F.sum("head").alias("_h")).withColumn("_before", F.coalesce(F.sum("_h").over(w), F.lit(0))).drop("_h")  # a row per block
+    along = Window.partitionBy("_f", "_b").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.join(F.broadcast(before), ["_f", "_b"]).withColumn("_seq", F.col("_before") + F.sum("head").over(along)).where("_seq > 0")
+    name = F.max(F.when(F.col("head") == 1, F.regexp_extract("value", r"^>\s*(\S*)", 1))).alias("name")
+    size = F.sum(F.when(F.col("head") == 0, F.length(F.trim("value"))).otherwise(0)).alias("len")
+    each = t.groupBy("_f", "_seq").agg(name, size)
     n = F.count("*").over(Window.partitionBy("name"))
-    starts = starts.withColumn("name", F.when((F.col("name") == "") | (n > 1), F.raise_error(F.concat(F.lit("bad sequence name: "), F.col("name")))).otherwise(F.col("name")))
-    body = t.where("not head").select(F.col("line").alias("at"), F.length(F.trim("value")).alias("n"))
-    return starts.join(body, (F.col("at") > F.col("line")) & (F.col("at") < F.col("next")), "left").groupBy("name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("len"))
+    bad = F.raise_error(F.concat(F.lit("bad sequence name: "), F.col("name")))
+    return each.withColumn("_n", n).select(F.when((F.col("name") == "") | (F.col("_n") > 1), bad).otherwise(F.col("name")).alias("name"), "len")
 
 
 def read_bed(spark: SparkSession, path: str, longer_than: int | None = None) -> DataFrame:
@@ -126,9 +133,7 @@ def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, V.So
         raise ValueError("there must be exactly one #CHROM line")
     head = t.where(F.col("value").startswith("##"))
     contigs = head.where("value like '##contig=<%>'").select(F.regexp_extract("value", "[<,]ID=([^,>]+)", 1).alias("chr"), F.regexp_extract("value", "[<,]length=([0-9]+)", 1).try_cast("long").alias("len")).where("chr <> '' and len is not null")
-    lines = [r[0] for r in head.where("lower(value) like '##source=%' or lower(value) like '##gripssversion=%'").select("value").limit(1000).collect()]
-    after = lambda x: x.split("=", 1)[1]
-    source = V.detect_source([after(x) for x in lines if x.lower().startswith("##source=")], [after(x) for x in lines if x.lower().startswith("##gripss")])
+    source = V.detect_source(head)
     p = t.where("value not like '#%' and trim(value) <> ''").withColumn("p", F.split("value", "\t"))
     names = ["chr", "pos", "id", "ref", "alt", "qual", "filter", "info"]
     d = p.select("line", *[(F.get("p", F.lit(k)).try_cast("long") if n == "pos" else F.get("p", F.lit(k))).alias(n) for k, n in enumerate(names)], F.col("value").alias("raw"), F.size("p").alias("_n"))

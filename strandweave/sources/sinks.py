@@ -22,8 +22,11 @@ def paf_line(cigar: str | None = None) -> Column:
 
 
 def write_paf(df: DataFrame, path: str, cigar: str | None = None) -> None:
-    """Rows of some length on the target; others are left out."""
-    df.where("tnd > tst").select(paf_line(cigar).alias("value")).write.mode("overwrite").text(path)
+    """Rows of some length on query, target and in block, with, if asked for, a CIGAR; others are left out."""
+    ok = F.expr("qlen > 0 and qnd > qst and tnd > tst and block > 0")
+    if cigar is not None:
+        ok = ok & ~F.coalesce(F.trim(cigar), F.lit("")).isin("", "*")
+    df.where(ok).select(paf_line(cigar).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True, null: str = "*") -> None:

@@ -56,11 +56,16 @@ def test_variant_fields(spark):
     assert r.s1 and not r.s2 and r.i == "a_b_c" and r.u == "unknown" and r.n == -3
 
 
-def test_sources():
-    assert V.detect_source(["Sniffles2_2.0.7"]) == V.Source("sniffles2", (2, 0, 7))
-    assert V.detect_source(["Severus_v1.6"]).version == (1, 6) and V.version_before((1, 6), (1, 7)) and not V.version_before((1, 7, 0), (1, 7))
-    assert V.detect_source(["Severus_v1", "Manta 2"]) == V.Source(None, None)
-    assert V.detect_source([], ["2.3.4"]) == V.Source("gripss", (2, 3, 4)) and V.detect_source(["other"]) == V.Source(None, None)
+def test_sources(spark):
+    def found(*lines):
+        return V.detect_source(spark.createDataFrame([(x,) for x in lines], "value string"))
+
+    assert found("##source=Sniffles2_2.0.7") == V.Source("sniffles2", (2, 0, 7))
+    assert found("##source=Severus_v1.6", "##fileformat=VCFv4.2").version == (1, 6)
+    assert found("##source=Severus_v1", "##source=Manta 2") == V.Source(None, None) and found("##source=Severus_v1", "##source=severus 2") == V.Source("severus", None)
+    assert found("##gripssVersion=2.3.4") == V.Source("gripss", (2, 3, 4)) and found("##source=other") == V.Source(None, None) and found("##source=other", "##gripssVersion=2") == V.Source("gripss", (2,))
+    assert found("##source=savana") == V.Source("savana", None) and found("##fileformat=VCFv4.2") == V.Source(None, None)
+    assert V.padded((1, 6)) < V.padded((1, 7)) and not V.padded((1, 7, 0)) < V.padded((1, 7))
 
 
 def test_strands(spark):

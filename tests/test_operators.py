@@ -69,13 +69,15 @@ def test_rank_sum_exact_and_normal():
     assert Q.mann_whitney(list(range(50)), list(range(100, 150))) < 1e-6
 
 
-def test_split_merging():
-    flat = np.array([(i * 10, i * 10 + 10, 5 + (i % 3)) for i in range(40)], float)
-    step = flat.copy()
-    step[20:, 2] += 50
-    assert Q.merge_splits([200.0], flat, []) == ([], [200.0])
-    assert Q.merge_splits([200.0], step, []) == ([200.0], [])
-    assert Q.merge_splits([200.0], flat, [(190, 210)]) == ([200.0], [])
+def test_split_merging(spark):
+    flat = [("flat", i * 10, i * 10 + 10, 5.0 + i % 3) for i in range(40)]
+    step = [("step", a, z, v + (50 if a >= 200 else 0)) for _, a, z, v in flat]
+    short = [("short", 0, 10, 1.0), ("short", 10, 20, 9.0)]
+    windows = spark.createDataFrame([*flat, *step, *short, *[("kept", *r[1:]) for r in flat]], "chr string, st long, nd long, depth double")
+    splits = [("flat", 100.0, False), ("flat", 200.0, False), ("flat", 390.0, False), ("step", 200.0, False), ("step", 300.0, False), ("kept", 200.0, True), ("short", 10.0, False)]
+    got = {(r.chr, r.pos): r.merged for r in Q.merge_splits(spark.createDataFrame(splits, "chr string, pos double, fixed boolean"), windows).collect()}
+    # 390 is tested last: by then its left side reaches back to 0, its right side is one window
+    assert got == {("flat", 100.0): True, ("flat", 200.0): True, ("flat", 390.0): False, ("step", 200.0): False, ("step", 300.0): True, ("kept", 200.0): False, ("short", 10.0): False}
 
 
 def test_highpass_removes_the_level():
@@ -130,6 +132,69 @@ def test_connectivity(spark):
     assert got == {(G.BAK, 1, G.FOR, 2), (G.BAK, 2, G.FOR, 1)}  # f+ beyond f-
 
 
+def test_connectivity_of_all_kinds(spark):
+    """Every pair of kinds of ends, before, after and overlapping: what faces each other connects."""
+    rows, spans = [], [(100, 200), (500, 600), (550, 650)]
+    for k, (role, strand, span) in enumerate((r, s, x) for r in "fb" for s in "+-" for x in spans):
+        rows += [(2 * k, "a", role, strand, "c", *span), (2 * k + 1, "b", role, strand, "c", *span)]
+    got = {tuple(r) for r in G.connectivity(spark.createDataFrame(rows, "node long, contig string, role string, strand string, chr string, st long, nd long")).collect()}
+    want = set()
+    for n, c, r, s, _, st, nd in rows:
+        for n2, c2, r2, s2, _, st2, nd2 in rows:
+            up, up2 = (r == "b") == (s == "+"), (r2 == "b") == (s2 == "+")
+            at, at2 = st if r == "f" else nd, st2 if r2 == "f" else nd2
+            if c != c2 and up and not up2 and (at2 > at or max(st, st2) < min(nd, nd2)):
+                leave, enter = {"f": G.BAK, "b": G.FOR}, {"f": G.FOR, "b": G.BAK}
+                want |= {(leave[r], n, enter[r2], n2), (leave[r2], n2, enter[r], n)}
+    assert got == want and want
+
+
+def test_directions_mates_and_contigs_of_variants(spark):
+    cols = "line long, chr string, pos long, id string, alt string, filter string, info string"
+    rec = [
+        (1, "c1", 1000, "a", "N]c2:5000]", "PASS", "SVTYPE=BND;STRANDS=+-;MATEID=b"), (2, "c2", 5000, "b", "N]c1:1000]", "PASS", "SVTYPE=BND;STRANDS=+-;MATEID=a"),
+        (3, "c1", 2000, "c", "N[c2:7000[", "PASS", "SVTYPE=BND;STRANDS=++"), (4, "c2", 7000, "d", "]c1:2000]N", "PASS", "SVTYPE=BND;STRANDS=++"),
+        (5, "c1", 3000, "e", "N[c2:8000[", "PASS", "SVTYPE=BND"), (6, "c2", 8000, "f", "]c1:3000]N", "PASS", "SVTYPE=BND;STRANDS=++"),
+        (7, "c1", 4000, "g", "N[c2:9000[", "PASS", "SVTYPE=BND;STRANDS=++"), (8, "c2", 9000, "h", "N[c1:4000[", "PASS", "SVTYPE=BND;STRANDS=++"),
+        (9, "c1", 10, "i", "N[cX:9[", "PASS", "SVTYPE=BND;STRANDS=++"), (10, "c1", 10, "j", "<INV>", "PASS", "SVTYPE=INV;END=900"), (11, "cX", 10, "k", "<DEL>", "PASS", "SVTYPE=DEL;END=900000"),
+        (12, "c1", 50, "l", "odd", "PASS", "SVTYPE=BND"), (13, "c1", 60, "m", "<CNV>", "PASS", "SVTYPE=CNV"), (14, "c1", 10, "n", "<INV>", "PASS", "SVTYPE=INV"),
+    ]
+    d = spark.createDataFrame(rec, cols)
+    lengths = spark.createDataFrame([("c1", 10**7), ("c2", 10**7)], "chr string, len long")
+    rest = {7: "mate_direction", 8: "mate_direction", 9: "contig_absent", 11: "contig_absent", 12: "malformed", 13: "unsupported", 14: "no_end"}
+    turns = [(10, "+", "-", "left"), (10, "-", "+", "right")]
+
+    def run(*source):
+        j, i, s = E.normalise_breakends(d, *source, lengths=lengths)
+        assert not i.collect()
+        return sorted((r.line, r.dir_a, r.dir_b, r.role) for r in j.collect()), {r.line: r.reason for r in s.collect()}
+
+    assert run() == (sorted([(1, "+", "-", None), (3, "+", "+", None), (5, "+", "+", None), *turns], key=lambda x: x[:3]), rest)
+    assert run("severus", (1, 7, 0)) == run()
+    assert run("severus", (1, 6)) == (sorted([(1, "-", "+", None), (3, "+", "+", None), *turns], key=lambda x: x[:3]), rest | {5: "strands_missing", 6: "strands_missing"})
+    assert run("severus")[0] == turns and {k: v for k, v in run("severus")[1].items() if v == "version_unknown"}.keys() == {1, 2, 3, 4, 5, 6, 7, 8}
+    m = E.normalise_breakends(spark.createDataFrame([(1, "c1", 10, "i", "<INV>", "PASS", "SVTYPE=INV;END=90;INV5"), (2, "c1", 10, "i", "<INV>", "PASS", "SVTYPE=INV;END=90")], cols), "manta")
+    assert [(r.line, r.role) for r in m[0].collect()] == [(1, "right")] and [r.line for r in m[2].collect()] == [2]
+    header = spark.createDataFrame([("c1", 10**7), ("cY", 5)], "chr string, len long")
+    assert [r.chr for r in E.check_contigs(header, lengths).collect()] == ["cY"]
+    with pytest.raises(Exception, match="length differs"):
+        E.check_contigs(spark.createDataFrame([("c1", 5)], "chr string, len long"), lengths).collect()
+
+
+def test_gram_blocks_equal_the_product(spark, monkeypatch):
+    from strandweave.operators import matrix as M
+    from strandweave.operators import solver as L
+
+    monkeypatch.setattr(M, "BLOCK", 4)
+    monkeypatch.setattr(M, "ROWS_BYTES", 8 * 11 * 3)
+    rng = np.random.default_rng(0)
+    a, t = rng.normal(size=(40, 11)) * (rng.random((40, 11)) < 0.6), rng.normal(size=40)
+    cells = [(int(j * 7), int(i), float(a[i, j])) for i in range(40) for j in range(11) if a[i, j]]
+    n = L.normal_equations(spark.createDataFrame(cells, "col long, bin long, value double"), spark.createDataFrame([(i, float(v)) for i, v in enumerate(t)], "bin long, value double"))
+    assert n.columns == [7 * j for j in range(11)] and np.allclose(n.gram, a.T @ a) and np.allclose(n.right, a.T @ t)
+    assert np.allclose(n.subset([14, 0]).gram, (a.T @ a)[np.ix_([2, 0], [2, 0])])
+
+
 def test_variant_pairs(spark):
     rec = [
         (1, "chr1", 1000, "a", "N[chr2:5000[", "PASS", "SVTYPE=BND;MATEID=b"), (2, "chr2", 5000, "b", "]chr1:1000]N", "PASS", "SVTYPE=BND;MATEID=a"),
