@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.components import connected_components, join_counted, local_roots, smallest_names
+from strandweave.operators.components import connected_components, join_counted, local_roots, smallest_names
 from strandweave.runtime import cut
 
 

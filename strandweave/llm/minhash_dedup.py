@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm import bytekit as bk
-from strandweave.llm.components import connected_components, join_counted, local_roots, smallest_names
+from strandweave.operators.components import connected_components, join_counted, local_roots, smallest_names
 from strandweave.runtime import by_ids, cut
 
 #: Blocks in a group that is put together from several buckets, at most.

@@ -580,7 +580,7 @@ def test_word_hashes_depend_on_words_only(monkeypatch):
 
 
 def test_components_of_paths_and_stars(spark):
-    from strandweave.llm.components import connected_components
+    from strandweave.operators.components import connected_components
 
     e = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
@@ -676,7 +676,7 @@ def test_buckets_with_several_components_are_compared_in_full(spark):
 
 
 def test_a_node_of_high_degree_is_not_shuffled(spark, monkeypatch):
-    from strandweave.llm import components as module
+    from strandweave.operators import components as module
 
     monkeypatch.setattr(module, "LEAST_HOT", 5)
     e = [(k, 500) for k in range(40)] + [(600, k) for k in range(601, 660)] + [(39, 600), (700, 701)]
