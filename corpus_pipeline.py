@@ -13,30 +13,43 @@ from strandweave.runtime import cut, prepare, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches 0.7."""
+    """Documents whose quality score reaches 0.7.
+
+    Null text is scored as empty; repeated rows and rows of null id are judged one by one by their texts.
+    """
     prepare(spark)
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, in a language that the model is sure of."""
+    """Documents with letters, in a language whose posterior is 0.5 or more.
+
+    Null, empty and letterless texts go; repeated rows and rows of null id are judged one by one by their texts.
+    """
     prepare(spark)
     return keep_language(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group that five-word shingles link at 0.8 or more."""
+    """One document, the smallest id, of each group that five-word shingles link at 0.8 or more.
+
+    Rows of null id and texts without words stay, of rows that repeat an id those that no kept one is near; see
+    keep_one_of_each.
+    """
     prepare(spark)
     return keep_one_of_each(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than 1 in 20 stand in 13-word windows of the benchmark."""
+    """Documents of whose words less than 1 in 20 stand in 13-word windows of the benchmark.
+
+    Null and empty texts stay; rows are judged one by one.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences of 1,024 tokens."""
+    """Pieces of all documents, packed into sequences of 1,024 tokens; null text is empty, repeated rows are rows as any."""
     prepare(spark)
     return pack(docs)
 

@@ -113,12 +113,12 @@ j AS (SELECT a.o_orderkey AS edge, b.o_orderkey AS event, row_number() OVER (PAR
 SELECT edge, event FROM j WHERE k = 1"""
 
 
-def junction_opposites(spark, d):
+def junction_opposites(spark, d, within: int = 8):
     """Junctions of customers' order pairs whose directions differ at both ends, both ends within 8 days."""
     o = table(spark, d, "orders").select(F.col("o_orderkey"), (F.col("o_custkey") % 2 + 1).alias("c1"), (F.col("o_custkey") % 3 + 1).alias("c2"), days("o_orderdate").alias("day"), (F.col("o_totalprice") % 2000).cast("long").alias("p"))
     j = o.select(F.col("o_orderkey").cast("string").alias("event"), (F.col("o_orderkey") * 2).alias("a_id"), F.concat(F.lit("chr"), "c1").alias("a_chr"), F.col("day").alias("a_st"), (F.col("day") + 3).alias("a_nd"), F.when(F.col("p") % 2 == 0, "+").otherwise("-").alias("a_dir"),
                  (F.col("o_orderkey") * 2 + 1).alias("b_id"), F.concat(F.lit("chr"), F.col("c2") + 10).alias("b_chr"), F.col("p").alias("b_st"), (F.col("p") + 3).alias("b_nd"), F.when(F.col("p") % 3 == 0, "+").otherwise("-").alias("b_dir"))
-    return J.opposite_pairs(j, 8)
+    return J.opposite_pairs(j, within)
 
 
 SQL_junction_opposites = f"""WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS event, o_custkey % 2 AS c1, o_custkey % 3 AS c2, {_D.format('o_orderdate')} AS s, CAST(trunc(o_totalprice % 2000) AS BIGINT) AS p FROM orders)

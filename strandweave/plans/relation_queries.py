@@ -18,7 +18,7 @@ from strandweave.operators import events as E
 from strandweave.operators import graph as G
 from strandweave.operators import junctions as J
 from strandweave.operators import paths as P
-from strandweave.plans import limits
+from strandweave.plans import event_queries, junction_queries, limits
 from strandweave.plans.interval_queries import days
 from strandweave.plans.junction_queries import SQL_ROWS, rows
 from strandweave.runtime import new_folder, table
@@ -409,6 +409,24 @@ SQL_variant_skips = f"""WITH {_SQL_VAR} SELECT k * 2 AS line, why AS reason FROM
 UNION ALL SELECT k * 2 + 1, CASE why WHEN 'filtered' THEN CASE WHEN k % 5 = 0 THEN 'filtered' ELSE 'mate_filtered' END WHEN 'mate_filtered' THEN 'filtered' ELSE why END FROM v WHERE why IS NOT NULL"""
 
 
+def junction_opposites_30(spark, d):
+    """Opposite junctions within 30 days."""
+    return junction_queries.junction_opposites(spark, d, 30)
+
+
+SQL_junction_opposites_30 = junction_queries.SQL_junction_opposites.replace("<= 8", "<= 30")
+
+
+def all_nation_paths(spark, d):
+    """R2: simple paths of one to three steps over the edges of all pairs of nations."""
+    e = event_queries.nation_edges(spark, d, 24)
+    p = G.simple_paths(e, e.select(F.col("src").alias("node")).distinct(), e.select(F.col("dst").alias("node")).distinct(), 3)
+    return p.select("src", "dst", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"))
+
+
+SQL_all_nation_paths = event_queries.SQL_simple_paths_k.replace("k <= 3", "k <= 24")
+
+
 # files, written and read back
 
 
