@@ -241,6 +241,30 @@ def check_contigs(header: DataFrame, lengths: DataFrame) -> DataFrame:
     return d.where(F.when(F.col("len") != F.col("_len"), bad).otherwise(F.col("_len").isNull())).select("chr", "len")
 
 
+def records_of_nodes(nodes: DataFrame, records: DataFrame) -> DataFrame:
+    """(node, part, key): the input records behind the nodes (node) of variants, by their names.
+
+    records: key, id (strings). A node of an inversion is named vcf_inv_ID, with _left or _right after it, one of a
+    breakend vcf_bnd_ID or vcf_bnd_ID_MATEID, with sanitised ids. As ids may hold underscores, every place where a name
+    can be cut is tried by equi-joins, and the longest first id wins whose rest is nothing or an id. Several records may
+    share a sanitised id. A name that fits no id stands for itself; other nodes have no row.
+    """
+    ids = records.select(V.sanitize_id(F.col("id")).alias("sid"), "key")
+    known = ids.select("sid").distinct()
+    named = nodes.where(F.col("node").rlike("^vcf_(inv|bnd)_")).select("node").distinct()
+    inversion = F.col("node").startswith("vcf_inv_")
+    rest = F.substring("node", len("vcf_inv_") + 1, 1 << 20)
+    named = named.withColumn("_body", F.when(inversion, F.regexp_replace(rest, "_(left|right)$", "")).otherwise(rest)).withColumn("_w", F.split("_body", "_"))
+    n = F.size("_w")
+    cut_at = lambda k: F.struct(F.array_join(F.slice("_w", F.lit(1), k), "_").alias("a"), F.when(k < n, F.array_join(F.slice("_w", k + 1, n), "_")).alias("b"))
+    tries = F.when(inversion, F.array(F.struct(F.col("_body").alias("a"), F.lit(None).cast("string").alias("b")))).otherwise(F.transform(F.sequence(F.lit(1), n), cut_at))
+    tried = named.select("node", F.explode(tries).alias("t")).select("node", "t.*").join(known.withColumnRenamed("sid", "a"), "a")
+    tried = tried.join(known.select(F.col("sid").alias("b"), F.lit(True).alias("_mate")), "b", "left").where("b is null or _mate")
+    best = tried.groupBy("node").agg(F.max_by(F.array_compact(F.array("a", "b")), F.length("a")).alias("_parts"))
+    parts = named.join(best, "node", "left").select("node", F.posexplode(F.coalesce("_parts", F.array("_body"))).alias("part", "sid"))
+    return parts.join(ids, "sid", "left").select("node", "part", F.coalesce("key", "sid").alias("key"))
+
+
 def graph_events(indels: DataFrame) -> DataFrame:
     """Events that may become graph edges: those of DEL, DUP and BND records."""
     return indels.where(F.upper("svtype").isin("DEL", "DUP", "BND"))

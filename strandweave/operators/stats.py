@@ -100,6 +100,13 @@ def denoised_error(df: DataFrame, chrom: str, pos: str, observed: str, predicted
     return t.agg(e.alias("denoised_relative_error"))
 
 
+def misfit_labels(df: DataFrame, predicted: str, observed: str, amplitude: float, excluded: str) -> DataFrame:
+    """df with label: excluded where that column says so, misfit where the prediction, 0 at least, is off by more than
+    the 0.975 quantile of noise of this amplitude, else fit."""
+    off = F.abs(F.greatest(F.col(predicted), F.lit(0.0)) - F.col(observed)) > amplitude * NORMAL_975
+    return df.withColumn("label", F.when(F.col(excluded), "excluded").when(off, "misfit").otherwise("fit"))
+
+
 def rank_sum_test(df: DataFrame, by: list[str], group: str, value: str) -> DataFrame:
     """Mann-Whitney U of group 1 against group 0 in each partition of df: u, n1, n0, z and two-sided p.
 

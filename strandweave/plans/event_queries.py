@@ -558,6 +558,13 @@ def greedy_leader(spark, d):
     return g.select("event_id", "leader", "is_leader")
 
 
+SQL_greedy_leader = f"""WITH RECURSIVE {SQL_EV}, e AS (SELECT event_id, event_type AS t, user_id AS u, CAST(sec AS DOUBLE) AS s, value * 360 AS v, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS rn FROM ev),
+f AS (SELECT t, u, rn, event_id, [{{'s': s, 'v': v}}] AS leaders, CAST(0 AS BIGINT) AS leader, true AS is_leader FROM e WHERE rn = 1 UNION ALL
+SELECT t, u, rn, event_id, CASE WHEN hit IS NULL THEN list_append(leaders, {{'s': s, 'v': v}}) ELSE leaders END, CAST(coalesce(hit - 1, len(leaders)) AS BIGINT), hit IS NULL
+FROM (SELECT e.*, f.leaders, nullif(coalesce(list_position(list_transform(f.leaders, lambda l: abs(l.s - e.s) <= 36000 AND abs(l.v - e.v) <= 36000), true), 0), 0) AS hit FROM f JOIN e ON e.t = f.t AND e.u = f.u AND e.rn = f.rn + 1))
+SELECT event_id, leader, is_leader FROM f"""
+
+
 _NAMES = [n for n in list(globals()) if n.startswith("SQL_") and n != "SQL_EV"]
 ORACLE = {n[4:]: globals()[n] for n in _NAMES}
 QUERIES = {n: globals()[n] for n in ORACLE} | {"nnls_fit": nnls_fit, "tv_denoise": tv_denoise, "greedy_leader": greedy_leader}

@@ -17,11 +17,14 @@ from strandweave.operators import contigs as T
 from strandweave.operators import events as E
 from strandweave.operators import graph as G
 from strandweave.operators import junctions as J
+from strandweave.operators import matrix as M
 from strandweave.operators import paths as P
+from strandweave.operators import solver as L
+from strandweave.operators import stats as Q
 from strandweave.plans import event_queries, junction_queries, limits
 from strandweave.plans.interval_queries import days
 from strandweave.plans.junction_queries import SQL_ROWS, rows
-from strandweave.runtime import new_folder, table
+from strandweave.runtime import cut, new_folder, table
 from strandweave.sources import readers as R
 from strandweave.sources import sinks as W
 
@@ -417,6 +420,64 @@ def junction_opposites_30(spark, d):
 SQL_junction_opposites_30 = junction_queries.SQL_junction_opposites.replace("<= 8", "<= 30")
 
 
+def records_behind_nodes(spark, d):
+    """Input records behind variant nodes, by sanitised ids that hold underscores."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    o = o.withColumn("next", F.lead("k").over(Window.orderBy("k")))
+    raw = lambda k: F.when(k % 2 == 0, F.concat(F.lit("r 0/"), k)).otherwise(F.concat(F.lit("q"), k))
+    sid = lambda k: V.sanitize_id(raw(k))
+    kind = F.col("k") % 6
+    mate = F.when(F.col("next").isNotNull(), F.concat(F.lit("_"), sid(F.col("next")))).otherwise("")
+    node = (
+        F.when(kind == 0, F.concat(F.lit("vcf_inv_"), sid(F.col("k")), F.when(F.col("k") % 4 == 0, "_left").otherwise("_right"))).when(kind == 1, F.concat(F.lit("vcf_bnd_"), sid(F.col("k"))))
+        .when(kind.isin(2, 5), F.concat(F.lit("vcf_bnd_"), sid(F.col("k")), mate)).when(kind == 3, F.concat(F.lit("vcf_bnd_r_0_x"), "k")).otherwise(F.concat(F.lit("ctg"), "k"))
+    )
+    return E.records_of_nodes(o.select(node.alias("node")), o.select(F.col("k").cast("string").alias("key"), raw(F.col("k")).alias("id")))
+
+
+SQL_records_behind_nodes = """WITH o AS (SELECT o_orderkey AS k, lead(o_orderkey) OVER (ORDER BY o_orderkey) AS nx FROM orders), n AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'r_0_' ELSE 'q' END || k AS a, CASE WHEN nx % 2 = 0 THEN 'r_0_' ELSE 'q' END || nx AS b FROM o)
+SELECT 'vcf_inv_' || a || CASE WHEN k % 4 = 0 THEN '_left' ELSE '_right' END AS node, 0 AS part, CAST(k AS VARCHAR) AS key FROM n WHERE k % 6 = 0 UNION ALL SELECT 'vcf_bnd_' || a, 0, CAST(k AS VARCHAR) FROM n WHERE k % 6 = 1
+UNION ALL SELECT 'vcf_bnd_' || a || coalesce('_' || b, ''), 0, CAST(k AS VARCHAR) FROM n WHERE k % 6 IN (2, 5) UNION ALL SELECT 'vcf_bnd_' || a || '_' || b, 1, CAST(nx AS VARCHAR) FROM n WHERE k % 6 IN (2, 5) AND nx IS NOT NULL
+UNION ALL SELECT 'vcf_bnd_r_0_x' || k, 0, 'r_0_x' || k FROM n WHERE k % 6 = 3"""
+
+
+def misfit_rows(spark, d):
+    """Q5: rows whose prediction is off by more than noise explains."""
+    r = numbered(spark, d).withColumn("predicted", (F.col("q") - 20).cast("double")).withColumn("observed", (F.col("node_id") * 3).cast("double")).withColumn("out", F.col("ctg_nam") % 9 == 0)
+    return Q.misfit_labels(r, "predicted", "observed", 6.0, "out").select("id", "label")
+
+
+SQL_misfit_rows = f"WITH {_N} SELECT id, CASE WHEN ctg % 9 = 0 THEN 'excluded' WHEN abs(greatest(q - 20, 0) - line * 3) > 6 * 1.959963984540054 THEN 'misfit' ELSE 'fit' END AS label FROM n"
+
+
+def nnls_optimality(spark, d):
+    """Whether each weight of a non-negative fit is optimal: no negative ones, and gradients that are 0 where a weight
+    isn't and nowhere below 0, from the predictions of the long matrix."""
+    e = table(spark, d, "embeddings").where("size(embedding) >= 2")
+    m = e.select(F.col("vec_id").cast("int").alias("bin"), F.posexplode(F.slice("embedding", F.lit(1), F.size("embedding") - 1)).alias("col", "value")).withColumn("value", F.col("value").cast("double"))
+    t = e.select(F.col("vec_id").cast("int").alias("bin"), F.element_at("embedding", -1).cast("double").alias("value"))
+    w = cut(L.fit(m, t, tol=1e-12), "weights")
+    p = M.predict(m, w)
+    off = t.join(p.withColumnRenamed("value", "_p"), "bin", "left").select("bin", (F.coalesce("_p", F.lit(0.0)) - F.col("value")).alias("value"))
+    size = M.right_side(m.withColumn("value", F.abs("value")), t.withColumn("value", F.abs("value"))).withColumnRenamed("value", "_size")
+    g = M.right_side(m, off).join(size, "col").join(w, "col")
+    small = 1e-4 * F.col("_size")
+    return g.select("col", ((F.col("w") >= 0) & (F.col("value") >= -small) & ((F.col("w") == 0) | (F.col("value") <= small))).alias("optimal"))
+
+
+SQL_nnls_optimality = "SELECT CAST(unnest(range(0, most - 1)) AS INT) AS col, true AS optimal FROM (SELECT max(len(embedding)) AS most FROM embeddings)"
+
+
+def unique_event_names(spark, d):
+    """names of events that no two lines share."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("line"), F.concat(F.lit("vcf_bnd_"), V.sanitize_id(F.concat(F.lit("c:"), F.col("o_custkey") % 50, F.when(F.col("o_orderkey") % 97 == 0, F.concat(F.lit("_L"), F.col("o_orderkey") + 1)).otherwise("")))).alias("base"))
+    return V.unique_names(o, "base", "line").select("line", "name")
+
+
+SQL_unique_event_names = """WITH o AS (SELECT o_orderkey AS line, 'vcf_bnd_c_' || (o_custkey % 50) || CASE WHEN o_orderkey % 97 = 0 THEN '_L' || (o_orderkey + 1) ELSE '' END AS base FROM orders), c AS (SELECT line, base, line = min(line) OVER (PARTITION BY base) AS first FROM o),
+n AS (SELECT line, first, CASE WHEN first THEN base ELSE base || '_L' || line END AS name FROM c) SELECT line, name || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY first DESC, line) AS k FROM n)"""
+
+
 def all_nation_paths(spark, d):
     """R2: simple paths of one to three steps over the edges of all pairs of nations."""
     e = event_queries.nation_edges(spark, d, 24)
