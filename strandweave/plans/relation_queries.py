@@ -290,12 +290,12 @@ def reciprocal_ends(spark, d):
 SQL_reciprocal_ends = f"WITH {_SQL_ENDS} SELECT x.event AS a, y.event AS b FROM e x JOIN e y ON x.c = y.c AND x.l1 AND NOT y.l1 AND x.l2 <> y.l2 AND abs(x.p1 - y.p1) <= 120 AND abs(x.p2 - y.p2) <= 120"
 
 
-def opposite_drops(spark, d):
+def drops_of_opposites(spark, d):
     """L1: opposite junctions of nearly equal depth."""
     return K.opposite_drop(_ends(spark, d), 1_000_000.0, 200, 50_000.0, 0.05)
 
 
-SQL_opposite_drops = f"WITH {_SQL_ENDS} SELECT least(x.event, y.event) AS a, greatest(x.event, y.event) AS b FROM e x JOIN e y ON x.c = y.c AND x.event < y.event AND x.l1 <> y.l1 AND x.l2 <> y.l2 AND abs(x.p1 - y.p1) <= 200 AND abs(x.p2 - y.p2) <= 200 WHERE abs(x.depth - y.depth) < 50000 AND greatest(x.depth, y.depth) >= 50000"
+SQL_drops_of_opposites = f"WITH {_SQL_ENDS} SELECT least(x.event, y.event) AS a, greatest(x.event, y.event) AS b FROM e x JOIN e y ON x.c = y.c AND x.event < y.event AND x.l1 <> y.l1 AND x.l2 <> y.l2 AND abs(x.p1 - y.p1) <= 200 AND abs(x.p2 - y.p2) <= 200 WHERE abs(x.depth - y.depth) < 50000 AND greatest(x.depth, y.depth) >= 50000"
 
 
 def droppable_events(spark, d):
