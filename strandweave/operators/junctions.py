@@ -14,7 +14,8 @@ from strandweave.functions import intervals as I
 from strandweave.functions import strands as S
 from strandweave.operators import ordered as O
 from strandweave.operators.leaders import greedy_leaders
-from strandweave.operators.range_join import nearest, range_join
+from strandweave.operators.range_join import box_candidates, nearest, range_join
+from strandweave.runtime import cut
 
 SIDES = ("a", "b")
 
@@ -32,26 +33,29 @@ def with_ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def canonical(junctions: DataFrame) -> DataFrame:
     """Junctions as lo_ and hi_ columns: ends by chromosome rank and position, directions as read in that order."""
     key = lambda p: F.struct(F.coalesce(S.chromosome_rank(F.col(f"{p}_chr")), F.lit(1 << 20)).alias("r"), F.col(f"{p}_st").alias("s"), F.col(f"{p}_nd").alias("e"))
-    swap = key("b") < key("a")
-    pick = lambda c, lo: F.when(swap == F.lit(lo), F.col(f"b_{c}")).otherwise(F.col(f"a_{c}"))
-    d = junctions
+    pick = lambda c, lo: F.when(F.col("_swap") == F.lit(lo), F.col(f"b_{c}")).otherwise(F.col(f"a_{c}"))
+    d = junctions.withColumn("_swap", key("b") < key("a"))
     for c in ("id", "chr", "st", "nd", "dir"):
         d = d.withColumn(f"lo_{c}", pick(c, True)).withColumn(f"hi_{c}", pick(c, False))
     fwd = F.col("lo_id") < F.col("hi_id")
-    return d.withColumn("lo_dir", S.corrected(F.col("lo_dir"), fwd)).withColumn("hi_dir", S.corrected(F.col("hi_dir"), fwd))
+    return d.withColumn("lo_dir", S.corrected(F.col("lo_dir"), fwd)).withColumn("hi_dir", S.corrected(F.col("hi_dir"), fwd)).drop("_swap")
 
 
 def opposite_pairs(junctions: DataFrame, within: int = 100_000) -> DataFrame:
-    """(x, y): junctions of one chromosome pair whose directions differ at both ends, both ends at most `within` apart."""
-    cols = ["event", "lo_chr", "hi_chr", "lo_st", "lo_nd", "hi_st", "hi_nd", "lo_dir", "hi_dir"]
-    d = canonical(junctions).select(cols)
-    x, y = (d.select(*[F.col(c).alias(f"{p}_{c}") if c not in ("lo_chr", "hi_chr") else F.col(c) for c in cols]) for p in "xy")
-    x = x.withColumn("st", F.col("x_lo_st") - within).withColumn("nd", F.col("x_lo_nd") + within + 1)
-    y = y.withColumn("r_st", F.col("y_lo_st")).withColumn("r_nd", F.col("y_lo_nd") + 1)
-    hit = range_join(x, y, ["lo_chr", "hi_chr"], "half_open", max(1, within))
-    far = lambda e: I.distance(*[F.col(f"{p}_{e}_{c}") for p in "xy" for c in ("st", "nd")])
-    ok = (F.col("x_event") < F.col("y_event")) & (F.col("x_lo_dir") != F.col("y_lo_dir")) & (F.col("x_hi_dir") != F.col("y_hi_dir"))
-    return hit.where(ok & (far("lo") <= within) & (far("hi") <= within)).select(F.col("x_event").alias("x"), F.col("y_event").alias("y"))
+    """(x, y): junctions of one chromosome pair whose directions (+ or -) differ at both ends, both ends at most `within` apart.
+
+    Each pair is met once, from its junction with + at the lower end.
+    """
+    spans = ("lo_st", "lo_nd", "hi_st", "hi_nd")
+    d = cut(canonical(junctions).select("event", "lo_chr", "hi_chr", *spans, "lo_dir", "hi_dir"), "junctions").dropna()
+    side = lambda p, sign, hi: d.where(F.col("lo_dir") == sign).select("lo_chr", "hi_chr", hi.alias("hi_dir"), *[F.col(c).alias(f"{p}_{c}") for c in ("event", *spans)])
+    ends = lambda p, e: (F.col(f"{p}_{e}_st"), F.col(f"{p}_{e}_nd"))
+    box = lambda p, wider: tuple((F.least(*ends(p, e)) - wider, F.greatest(*ends(p, e)) + wider) for e in ("lo", "hi"))
+    width = 2 * within + 1
+    hit = box_candidates(side("x", "+", F.col("hi_dir")), side("y", "-", S.invert(F.col("hi_dir"))), ["lo_chr", "hi_chr", "hi_dir"], box("x", within), box("y", 0), (width, width))
+    far = lambda e: I.distance(*ends("x", e), *ends("y", e))
+    hit = hit.where((far("lo") <= within) & (far("hi") <= within) & (F.col("x_event") != F.col("y_event")))
+    return hit.select(F.least("x_event", "y_event").alias("x"), F.greatest("x_event", "y_event").alias("y"))
 
 
 def prune_satellite_pairs(junctions: DataFrame, fragments: DataFrame, least_mapq: int = 60, within: int = 100_000) -> DataFrame:

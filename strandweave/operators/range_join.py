@@ -57,6 +57,51 @@ def range_join(
     raise ValueError(f"unknown join type {how}")
 
 
+def box_candidates(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    left_box: tuple[tuple[Column, Column], tuple[Column, Column]],
+    right_box: tuple[tuple[Column, Column], tuple[Column, Column]],
+    widths: tuple[int, int],
+    most: int = 64,
+) -> DataFrame:
+    """Pairs of rows with equal `on` columns, once each, among them all whose boxes share a point, ends included.
+
+    A box is a span (start, end) in each of two dimensions; what pairs have to be is for the caller to ask. Column names
+    of the two sides are distinct but for `on`. Both sides are spread over the cells of a grid and met in the first cell
+    they share. Boxes over more than `most` cells are met by buckets of the first dimension only. Spans with nd < st, or
+    null, match nothing. Both sides are read up to four times, so they should be written tables.
+    """
+    out = [*left.columns, *[c for c in right.columns if c not in on]]
+    first, last = (lambda span, k, e=e: F.floor(span[e] / widths[k]) for e in (0, 1))
+    cells = lambda box: (last(box[0], 0) - first(box[0], 0) + 1).cast("double") * (last(box[1], 1) - first(box[1], 1) + 1)
+    sides = [d.dropna(subset=on).where((b[0][0] <= b[0][1]) & (b[1][0] <= b[1][1])) for d, b in ((left, left_box), (right, right_box))]
+    small = [d.where(cells(b) <= most) for d, b in zip(sides, (left_box, right_box))]
+    wide = [d.where(cells(b) > most) for d, b in zip(sides, (left_box, right_box))]
+
+    def spread(d: DataFrame, box, s: str) -> DataFrame:
+        d = d.withColumns({f"_{s}f{k}": first(box[k], k) for k in (0, 1)} | {f"_{s}e{k}": last(box[k], k) for k in (0, 1)})
+        for k in (0, 1):
+            d = d.withColumn(f"_{s}c{k}", F.explode(F.sequence(f"_{s}f{k}", f"_{s}e{k}"))).drop(f"_{s}e{k}")
+        d = d.withColumn(f"_{s}key", F.xxhash64(*on, f"_{s}c0", f"_{s}c1"))
+        return d.withColumnsRenamed({c: f"_{s}{c}" for c in on}) if s == "r" else d
+
+    # the hash comes first, as the join sorts by its first key
+    meet = F.col("_lkey") == F.col("_rkey")
+    for c in on:
+        meet = meet & (F.col(c) == F.col(f"_r{c}"))
+    for k in (0, 1):
+        meet = meet & (F.col(f"_lc{k}") == F.col(f"_rc{k}")) & (F.col(f"_lc{k}") == F.greatest(f"_lf{k}", f"_rf{k}"))
+    pairs = spread(small[0], left_box, "l").join(spread(small[1], right_box, "r"), meet).select(out)
+    for k, (a, b) in enumerate(((wide[0], sides[1]), (small[0], wide[1]))):
+        if wide[k].limit(1).count():
+            a = a.withColumns({"_lst": left_box[0][0], "_lnd": left_box[0][1]})
+            b = b.withColumns({"_rst": right_box[0][0], "_rnd": right_box[0][1]})
+            pairs = pairs.unionByName(range_join(a, b, on, "closed", widths[0], ("_lst", "_lnd"), ("_rst", "_rnd")).select(out))
+    return pairs
+
+
 def first_label(nodes: DataFrame, labels: DataFrame, on: list[str], node_id: str, width: int, kind: str = "half_open", order: str = "ord", label: str = "label") -> DataFrame:
     """nodes with the label of the first interval (by `order`) that overlaps, and `in` appended where it contains.
 

@@ -1,6 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from strandweave.operators import junctions as J
+from strandweave.operators import range_join as R
 from strandweave.plans import contig_pipeline
 
 
@@ -79,3 +82,26 @@ def test_contig_pipeline(spark):
     assert {(r.event, r.a_id, r.b_id) for r in out["junctions"].collect()} == {("t", 1, 2), ("u", 3, 4)}
     edges = {tuple(r) for r in out["edges"].collect()}
     assert (0, 1, 0, 2) in edges and (1, 4, 1, 3) in edges
+
+
+def test_opposites_equal_nested_loops(spark):
+    rng, rows = random.Random(5), []
+    for k in range(260):
+        a, b = rng.randrange(300), rng.randrange(300)
+        n, m = rng.choice([0, 3, 9, 400 if k % 40 == 0 else 5]), rng.choice([0, 3, 9, 700 if k % 50 == 0 else 5])
+        rows.append((f"e{k % 250}", 2 * k, "chr1", a, a + n, rng.choice("+-"), 2 * k + 1, f"chr{rng.randrange(2, 4)}", b, b + m, rng.choice("+-")))
+    far = lambda p, q, r, s: 0 if max(p, r) < min(q, s) else min(abs(r - q), abs(s - p))
+    for within in (0, 7):
+        want = sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[7] == y[7] and x[5] != y[5] and x[10] != y[10] and far(*x[3:5], *y[3:5]) <= within and far(*x[8:10], *y[8:10]) <= within)
+        assert want and sorted(map(tuple, J.opposite_pairs(frame(spark, rows), within).collect())) == want
+    unplaced = [("x", 1, "chr1", 5, 9, "+", 2, "chr2", None, None, "+"), ("y", 3, "chr1", 5, 9, "-", 4, "chr2", 5, 9, "-")]
+    assert J.opposite_pairs(frame(spark, unplaced), 7).count() == 0
+
+
+def test_opposites_meet_at_both_ends(spark):
+    """A thousand junctions that share one end only: hardly a pair comes up for comparison."""
+    n = spark.range(1000).select(F.lit("c").alias("c"), (F.col("id") * 100).alias("p"), F.lit(5).alias("q"))
+    y = n.select("c", (F.col("p") + 40).alias("u"), F.col("q").alias("v"))
+    box = lambda p, q: ((F.col(q), F.col(q) + 3), (F.col(p), F.col(p) + 3))
+    assert R.box_candidates(n, y, ["c"], box("p", "q"), box("u", "v"), (15, 15)).count() < 1000
+    assert R.box_candidates(n, y, ["c"], box("p", "q"), box("u", "v"), (15, 200)).count() >= 1000
