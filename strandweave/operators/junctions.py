@@ -140,10 +140,28 @@ def rescued_by_templates(inversions: DataFrame, templates: DataFrame, within: in
 
 
 def inside_counts(jumps: DataFrame, breakends: DataFrame, width: int = 1_000_000) -> DataFrame:
-    """jumps (jump, chr, st, nd) with the number of junctions that have a breakend (event, chr, pos) in them, ends included."""
+    """jumps (jump, chr, st, nd) with the number of junctions that have a breakend (event, chr, pos) in them, ends included.
+
+    Within a span, a junction has one more distinct position than steps between neighbouring ones. So each distinct span counts
+    positions and takes off steps, both as sums over equal ones: neither meets jumps or junctions singly.
+    """
+    at = breakends.select("event", "chr", "pos").dropna().distinct()
+    step = F.lag("pos").over(Window.partitionBy("event", "chr").orderBy("pos"))
+    at = at.select("chr", F.col("pos").alias("r_nd"), step.alias("_from"))
+    own = jumps.select("jump", "chr", "st", "nd").where(F.col("st") <= F.col("nd")).dropna().distinct()
+    spans = own.select("chr", "st", "nd").distinct()
+    steps = at.where("_from is not null").groupBy("chr", F.col("_from").alias("r_st"), "r_nd").agg(F.count("*").alias("_n"))
+    longest = spans.agg(F.max(F.col("nd") - F.col("st")).alias("_most"))
+    steps = steps.join(F.broadcast(longest), F.col("r_nd") - F.col("r_st") <= F.col("_most")).drop("_most")  # one row
+    points = at.groupBy("chr", "r_nd").agg(F.count("*").alias("_n")).select("chr", F.col("r_nd").alias("r_st"), "r_nd", "_n")
+    sums = [range_join(spans, s, ["chr"], "contains", width).groupBy("chr", "st", "nd").agg(F.sum(F.col("_n") * sign).alias("_n")) for s, sign in ((points, 1), (steps, -1))]
+    counts = sums[0].unionByName(sums[1]).groupBy("chr", "st", "nd").agg(F.sum("_n").alias("_n"))
+    # a jump of several spans counts a junction in any of them once
+    several = own.groupBy("jump").agg(F.count("*").alias("_k")).where("_k > 1").select("jump")
+    one = own.join(several, "jump", "left_anti").join(counts, ["chr", "st", "nd"]).select("jump", F.col("_n").alias("n_inside"))
     b = breakends.select("event", "chr", F.col("pos").alias("r_st"), F.col("pos").alias("r_nd"))
-    n = range_join(jumps.select("jump", "chr", "st", "nd"), b, ["chr"], "closed", width).groupBy("jump").agg(F.countDistinct("event").alias("n_inside"))
-    return jumps.join(n, "jump", "left").withColumn("n_inside", F.coalesce("n_inside", F.lit(0)))
+    more = range_join(own.join(several, "jump", "left_semi"), b, ["chr"], "closed", width).groupBy("jump").agg(F.countDistinct("event").alias("n_inside"))
+    return jumps.join(one.unionByName(more), "jump", "left").withColumn("n_inside", F.coalesce("n_inside", F.lit(0)))
 
 
 def jump_edges(jumps: DataFrame) -> DataFrame:

@@ -105,3 +105,29 @@ def test_opposites_meet_at_both_ends(spark):
     box = lambda p, q: ((F.col(q), F.col(q) + 3), (F.col(p), F.col(p) + 3))
     assert R.box_candidates(n, y, ["c"], box("p", "q"), box("u", "v"), (15, 15)).count() < 1000
     assert R.box_candidates(n, y, ["c"], box("p", "q"), box("u", "v"), (15, 200)).count() >= 1000
+
+
+def test_inside_counts_equal_nested_loops(spark):
+    rng = random.Random(9)
+    jumps = [(k % 45, rng.choice("cd"), s := rng.randrange(100), s + rng.choice([0, 4, 30, -1])) for k in range(50)]
+    ends = [(rng.choice([*"abcdefgh", None]), rng.choice(["c", "d", None]), rng.choice([rng.randrange(120), None])) for _ in range(150)]
+    want = sorted((j, s, n, len({e for e, c, p in ends for i, d, a, b in jumps if i == j and e and c == d and p is not None and a <= p <= b})) for j, _, s, n in jumps)
+    a, b = spark.createDataFrame(jumps, "jump int, chr string, st long, nd long"), spark.createDataFrame(ends, "event string, chr string, pos long")
+    assert sorted((r.jump, r.st, r.nd, r.n_inside) for r in J.inside_counts(a, b, 16).collect()) == want
+
+
+def test_inside_counts_meet_equal_spans_once(spark):
+    """Two thousand equal jumps over two thousand equal breakends: no join makes a row of each pair."""
+    a = spark.range(2000).select(F.col("id").alias("jump"), F.lit("c").alias("chr"), F.lit(5).alias("st"), F.lit(9).alias("nd"))
+    b = spark.range(2000).select(F.col("id").alias("event"), F.lit("c").alias("chr"), F.lit(7).alias("pos"))
+    got = J.inside_counts(a, b)
+    assert got.where("n_inside = 2000").count() == 2000
+
+    def largest(p):
+        kids = [p.children().apply(i) for i in range(p.children().size())] or ([p.plan()] if p.getClass().getSimpleName().endswith("QueryStageExec") else [])
+        own = [p.metrics().apply("numOutputRows").value()] if p.metrics().contains("numOutputRows") and "Join" in p.nodeName() else []
+        return max(own + [largest(k) for k in kids], default=0)
+
+    got.collect()
+    done = got._jdf.queryExecution().executedPlan().finalPhysicalPlan()
+    assert 0 < largest(done) <= 2000
