@@ -288,11 +288,15 @@ def match_edges(edges: DataFrame, indels: DataFrame, tolerance: int = 10_000) ->
     An edge without any is an error at run time.
     """
     step = max(1, tolerance)
-    e = edges.select("edge", "event_type", "chr", F.col("st").alias("e_st"), F.col("nd").alias("e_nd")).withColumn("_b", F.explode(F.sequence(F.floor(F.col("e_st") / step) - 1, F.floor(F.col("e_st") / step) + 1)))
-    i = indels.select("event", "event_type", "chr", "st", "nd").withColumn("_b", F.floor(F.col("st") / step))
+    at = ["event_type", "chr"]
+    # equal spans have one answer: of equal indels that is the smallest event, and equal edges share it
+    e = edges.select(*at, F.col("st").alias("e_st"), F.col("nd").alias("e_nd")).dropna().distinct().withColumn("_b", F.explode(F.sequence(F.floor(F.col("e_st") / step) - 1, F.floor(F.col("e_st") / step) + 1)))
+    i = indels.groupBy(*at, "st", "nd").agg(F.min("event").alias("event")).withColumn("_b", F.floor(F.col("st") / step))
     d1, d2 = F.abs(F.col("st") - F.col("e_st")), F.abs(F.col("nd") - F.col("e_nd"))
-    hit = e.join(i, ["event_type", "chr", "_b"]).where((d1 <= tolerance) & (d2 <= tolerance)).groupBy("edge").agg(F.min_by("event", F.struct((d1 + d2).alias("d"), F.col("event"))).alias("event"))
-    out = edges.select("edge").join(hit, "edge", "left")
+    near = F.min(F.struct((d1 + d2).alias("d"), F.col("event"))).alias("_near")
+    hit = e.join(i, [*at, "_b"]).where((d1 <= tolerance) & (d2 <= tolerance) & F.col("event").isNotNull()).groupBy(*at, "e_st", "e_nd").agg(near)
+    out = edges.select("edge", *at, F.col("st").alias("e_st"), F.col("nd").alias("e_nd")).join(hit, [*at, "e_st", "e_nd"], "left")
+    out = out.select("edge", F.min("_near").over(Window.partitionBy("edge"))["event"].alias("event"))
     kind = indels.schema["event"].dataType
     return out.withColumn("event", F.coalesce("event", F.raise_error(F.concat(F.lit("no indel for edge "), F.col("edge").cast("string"))).cast(kind)))
 

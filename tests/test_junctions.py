@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from strandweave.operators import events as E
 from strandweave.operators import junctions as J
 from strandweave.operators import range_join as R
 from strandweave.plans import contig_pipeline
@@ -12,6 +13,13 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, cols)
 
 
+def joined_rows(p):
+    """Rows that the largest join of an executed plan made."""
+    kids = [p.children().apply(i) for i in range(p.children().size())] or ([p.plan()] if p.getClass().getSimpleName().endswith("QueryStageExec") else [])
+    own = [p.metrics().apply("numOutputRows").value()] if p.metrics().contains("numOutputRows") and "Join" in p.nodeName() else []
+    return max(own + [joined_rows(k) for k in kids], default=0)
+
+
 def test_satellite_pruning(spark):
     j = frame(spark, [("x", 1, "chr1", 100, 200, "+", 2, "chr2", 100, 200, "+"), ("y", 3, "chr1", 150, 250, "-", 4, "chr2", 150, 250, "-"), ("z", 5, "chr3", 1, 9, "+", 6, "chr4", 1, 9, "+"), ("w", 7, "chr1", 1, 9, "+", 8, "chr1", 50, 90, "-")])
     j = j.withColumn("a_sat", F.lit(True)).withColumn("b_sat", F.col("event") != "z").withColumn("a_mapq", F.lit(60)).withColumn("b_mapq", F.lit(60)).withColumn("a_telo_sat", F.lit(False)).withColumn("b_telo_sat", F.lit(False))
@@ -123,11 +131,19 @@ def test_inside_counts_meet_equal_spans_once(spark):
     got = J.inside_counts(a, b)
     assert got.where("n_inside = 2000").count() == 2000
 
-    def largest(p):
-        kids = [p.children().apply(i) for i in range(p.children().size())] or ([p.plan()] if p.getClass().getSimpleName().endswith("QueryStageExec") else [])
-        own = [p.metrics().apply("numOutputRows").value()] if p.metrics().contains("numOutputRows") and "Join" in p.nodeName() else []
-        return max(own + [largest(k) for k in kids], default=0)
-
     got.collect()
-    done = got._jdf.queryExecution().executedPlan().finalPhysicalPlan()
-    assert 0 < largest(done) <= 2000
+    assert 0 < joined_rows(got._jdf.queryExecution().executedPlan().finalPhysicalPlan()) <= 2000
+
+
+def test_match_edges_by_distinct_spans(spark):
+    rng = random.Random(4)
+    made = lambda n: [(rng.randrange(n * 9 // 10), rng.choice("FO"), "c", s := rng.randrange(60), s + rng.randrange(6)) for _ in range(n)]
+    edges, indels = made(60), made(400)
+    gap = lambda e, i: (abs(e[3] - i[3]), abs(e[4] - i[4]))
+    want = {e: min((sum(gap(x, i)), i[0]) for x in edges if x[0] == e for i in indels if i[1] == x[1] and max(gap(x, i)) <= 7)[1] for e in {x[0] for x in edges}}
+    a, b = spark.createDataFrame(edges, "edge long, event_type string, chr string, st long, nd long"), spark.createDataFrame(indels, "event long, event_type string, chr string, st long, nd long")
+    assert sorted(map(tuple, E.match_edges(a, b, 7).collect())) == sorted((x[0], want[x[0]]) for x in edges)
+    many = spark.range(2000).select(F.col("id").alias("edge"), F.lit("F").alias("event_type"), F.lit("c").alias("chr"), F.lit(5).alias("st"), F.lit(9).alias("nd"))
+    got = E.match_edges(many, many.withColumnRenamed("edge", "event"), 7)
+    assert {r.event for r in got.collect()} == {0}
+    assert 0 < joined_rows(got._jdf.queryExecution().executedPlan().finalPhysicalPlan()) <= 2000
