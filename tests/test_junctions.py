@@ -99,7 +99,7 @@ def test_opposites_equal_nested_loops(spark):
         n, m = rng.choice([0, 3, 9, 400 if k % 40 == 0 else 5]), rng.choice([0, 3, 9, 700 if k % 50 == 0 else 5])
         rows.append((f"e{k % 250}", 2 * k, "chr1", a, a + n, rng.choice("+-"), 2 * k + 1, f"chr{rng.randrange(2, 4)}", b, b + m, rng.choice("+-")))
     far = lambda p, q, r, s: 0 if max(p, r) < min(q, s) else min(abs(r - q), abs(s - p))
-    for within in (0, 7):
+    for within in (0, 7, 30):
         want = sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[7] == y[7] and x[5] != y[5] and x[10] != y[10] and far(*x[3:5], *y[3:5]) <= within and far(*x[8:10], *y[8:10]) <= within)
         assert want and sorted(map(tuple, J.opposite_pairs(frame(spark, rows), within).collect())) == want
     unplaced = [("x", 1, "chr1", 5, 9, "+", 2, "chr2", None, None, "+"), ("y", 3, "chr1", 5, 9, "-", 4, "chr2", 5, 9, "-")]
