@@ -41,21 +41,30 @@ def canonical(junctions: DataFrame) -> DataFrame:
     return d.withColumn("lo_dir", S.corrected(F.col("lo_dir"), fwd)).withColumn("hi_dir", S.corrected(F.col("hi_dir"), fwd)).drop("_swap")
 
 
-def opposite_pairs(junctions: DataFrame, within: int = 100_000) -> DataFrame:
+def opposite_pairs(junctions: DataFrame, within: int = 100_000, together: int = 1_000) -> DataFrame:
     """(x, y): junctions of one chromosome pair whose directions (+ or -) differ at both ends, both ends at most `within` apart.
 
-    Each pair is met once, from its junction with + at the lower end.
+    Each pair is met once, from its junction with + at the lower end. Where equal spans are many, junctions of the same
+    spans and directions meet as one row of up to `together` events, and its events are paired after that.
     """
     spans = ("lo_st", "lo_nd", "hi_st", "hi_nd")
-    d = cut(canonical(junctions).select("event", "lo_chr", "hi_chr", *spans, "lo_dir", "hi_dir"), "junctions").dropna()
+    place = ["lo_chr", "hi_chr", *spans, "lo_dir", "hi_dir"]
+    d = cut(canonical(junctions).select("event", *place), "junctions").dropna()
+    n, different = d.select(F.count("*"), F.approx_count_distinct(F.xxhash64(*place))).first()
+    copies = 2 * different <= n
+    if copies:
+        piece = F.floor((F.row_number().over(Window.partitionBy(*place).orderBy("event")) - 1) / together)
+        d = cut(d.withColumn("_piece", piece).groupBy(*place, "_piece").agg(F.collect_list("event").alias("event")).drop("_piece"), "spans")
     side = lambda p, sign, hi: d.where(F.col("lo_dir") == sign).select("lo_chr", "hi_chr", hi.alias("hi_dir"), *[F.col(c).alias(f"{p}_{c}") for c in ("event", *spans)])
     ends = lambda p, e: (F.col(f"{p}_{e}_st"), F.col(f"{p}_{e}_nd"))
     box = lambda p, wider: tuple((F.least(*ends(p, e)) - wider, F.greatest(*ends(p, e)) + wider) for e in ("lo", "hi"))
     width = 2 * within + 1
     hit = box_candidates(side("x", "+", F.col("hi_dir")), side("y", "-", S.invert(F.col("hi_dir"))), ["lo_chr", "hi_chr", "hi_dir"], box("x", within), box("y", 0), (width, width))
     far = lambda e: I.distance(*ends("x", e), *ends("y", e))
-    hit = hit.where((far("lo") <= within) & (far("hi") <= within) & (F.col("x_event") != F.col("y_event")))
-    return hit.select(F.least("x_event", "y_event").alias("x"), F.greatest("x_event", "y_event").alias("y"))
+    hit = hit.where((far("lo") <= within) & (far("hi") <= within)).select("x_event", "y_event")
+    if copies:
+        hit = hit.withColumn("x_event", F.explode("x_event")).withColumn("y_event", F.explode("y_event"))
+    return hit.where(F.col("x_event") != F.col("y_event")).select(F.least("x_event", "y_event").alias("x"), F.greatest("x_event", "y_event").alias("y"))
 
 
 def prune_satellite_pairs(junctions: DataFrame, fragments: DataFrame, least_mapq: int = 60, within: int = 100_000) -> DataFrame:

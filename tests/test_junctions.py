@@ -106,6 +106,18 @@ def test_opposites_equal_nested_loops(spark):
     assert J.opposite_pairs(frame(spark, unplaced), 7).count() == 0
 
 
+def test_opposites_of_equal_spans_meet_once(spark):
+    """Many junctions on few spans: the grid joins spans, in pieces of seven events, and every pair of events comes out."""
+    rng = random.Random(6)
+    places = [("chr1", a := rng.randrange(60), a + 3, rng.choice("+-"), "chr2", b := rng.randrange(60), b + 3, rng.choice("+-")) for _ in range(12)]
+    rows = [(f"e{k % 590}", 2 * k, *places[k % 12][:4], 2 * k + 1, *places[k % 12][4:]) for k in range(600)]
+    far = lambda p, q, r, s: 0 if max(p, r) < min(q, s) else min(abs(r - q), abs(s - p))
+    want = sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[5] != y[5] and x[10] != y[10] and far(*x[3:5], *y[3:5]) <= 30 and far(*x[8:10], *y[8:10]) <= 30)
+    got = J.opposite_pairs(frame(spark, rows), 30, together=7)
+    assert len(want) > 10_000 and sorted(map(tuple, got.collect())) == want
+    assert 0 < joined_rows(got._jdf.queryExecution().executedPlan().finalPhysicalPlan()) < len(want) / 10
+
+
 def test_opposites_meet_at_both_ends(spark):
     """A thousand junctions that share one end only: hardly a pair comes up for comparison."""
     n = spark.range(1000).select(F.lit("c").alias("c"), (F.col("id") * 100).alias("p"), F.lit(5).alias("q"))
