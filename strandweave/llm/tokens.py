@@ -12,10 +12,11 @@ plain=True makes it ordinary text, for corpora that must not write control token
 
 from __future__ import annotations
 
-import functools
 import os
 from array import array
+from functools import lru_cache, partial
 from itertools import accumulate
+from string import punctuation
 
 import numpy as np
 import regex
@@ -38,7 +39,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@functools.lru_cache(maxsize=2)
+@lru_cache(maxsize=2)
 def _tokenizer(path: str, plain: bool):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -82,6 +83,7 @@ class Encoder:
         self._word_ids = _Cache(self._word)
         self._word_starts = _Cache(self._starts_in_word)
         self._ids = _Cache(self._piece_ids)
+        self._first_ids = _Cache(partial(self._piece_ids, space=""))
         self._starts = _Cache(self._piece_starts)
 
     def _word(self, word: str) -> bytes:
@@ -103,16 +105,24 @@ class Encoder:
     def _whole_starts(self, text: str) -> bytes:
         return np.array([a for a, _ in self.tokenizer.encode(text, add_special_tokens=False).offsets], "<u4").tobytes()
 
-    def _piece_ids(self, piece: str) -> bytes:
+    def _piece_ids(self, piece: str, space: str = SPACE_CHAR) -> bytes:
+        """Ids of a piece after a space or, with space="", of one at the start of a text or line."""
         if piece.isalpha():  # a word of its own
             mapped = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(BYTE_CHARS)
-            return array("I", [t.id for t in self.tokenize(SPACE_CHAR + mapped)]).tobytes()
-        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return array("I", [t.id for t in self.tokenize(space + mapped)]).tobytes()
+        if not piece or piece[-1].isspace() or space and piece[0].isspace():
             raise _Awkward
+        own = self._ids if space else self._first_ids
         core, end = piece[:-1], piece[-1]
         if core.isalpha() and not end.isalnum():
-            return self._ids[core] + self._word_ids[end]
-        return b"".join(map(self._word_ids.__getitem__, WORD.findall(" " + piece)))
+            return own[core] + self._word_ids[end]
+        if (core := piece.rstrip(punctuation)).isalpha():
+            return own[core] + self._word_ids[piece[len(core) :]]
+        first, *lines = piece.split("\n")
+        if lines and first and not first[-1].isspace() and not any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+            newline = self._word_ids["\n"]  # alone between two characters that aren't white space: a word of its own
+            return own[first] + b"".join([newline + self._first_ids[x] for x in lines])
+        return b"".join(map(self._word_ids.__getitem__, WORD.findall(" " + piece if space else piece)))
 
     def _piece_starts(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
@@ -133,7 +143,7 @@ class Encoder:
         head, *rest = text.split(" ")
         if head and not head[-1].isspace() and not self._whole_only(text):
             try:
-                return self._whole(head) + b"".join(map(self._ids.__getitem__, rest))
+                return self._first_ids[head] + b"".join(map(self._ids.__getitem__, rest))
             except _Awkward:
                 pass
         return self._whole(text)

@@ -707,6 +707,21 @@ def test_strings_of_added_tokens(encode, spark):
     assert {r.doc_id: r.n for r in attribution.tokens_by_line(d).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()} == {i: len(b) // 4 - 1 for i, b in ids.items()}
 
 
+def test_lines_and_runs_of_signs_tokenize_each_word_once(encode, monkeypatch):
+    """No text is encoded whole, and a word is tokenized once, whatever stands behind it."""
+    enc, calls = tokens.Encoder(tokens.default_tokenizer()), []
+    whole, tokenize = enc._whole, enc.tokenize
+    monkeypatch.setattr(enc, "tokenize", lambda w: calls.append(w) or tokenize(w))
+    monkeypatch.setattr(enc, "_whole", None)
+    text = "Anblewh sttible, athawh*** sttible.\nAnblewh sttible!!\nAnblewh. thonre\nsttible athawh"
+    assert np.frombuffer(enc.ids(text), "<u4").tolist() == encode(text).ids
+    assert len(calls) == len(set(calls)) == 10
+    monkeypatch.setattr(enc, "_whole", whole)
+    parts, rng = ["a", "Bc", "é", "ß中", "7", "½", "'s", "'", "!!", "_", "»", "\n", "\n\n", "\t", "\r\n", " ", "\x1c", "\x85", "\u0301", "\u2028", "<|endoftext|>"], random.Random(3)
+    for text in ["a\n" * 5000 + "b", "\n\tfoo bar", *("".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(5000))]:
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == encode(text).ids
+
+
 def test_token_files_give_wanted_documents(spark, encode, tmp_path):
     rows = [(i, f"text {i} " * (i % 5)) for i in range(200)] + [(None, "no id"), (7, "again")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
